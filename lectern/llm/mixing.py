@@ -2,13 +2,13 @@
 
 The target of a source is its share of all sizes by weight, stopped at ``most`` times its own size, with the excess
 reshared by weight (water filling, in closed form: the sources that stop are a prefix in order of cap by weight). Each
-document of a source expects the same number of copies, target by size. Documents of a source stand in one order, by
-size and then by a hash of their id; the prefix sum of the expected copies, shifted by one random offset a source, emits
-a copy of a document for each integer boundary that it crosses there. As neighbours are of like size, the words taken
-come within a few documents' size of the target.
+document of a source expects the same number of copies, target by size. Documents of a source stand in the order of
+their size's power of two, and of a hash of their id within one; the prefix sum of the expected copies, shifted by one offset a source, emits a copy of a document for
+each integer boundary that it crosses there. The offset is one random number a source, shifted to whichever of 64 even
+steps round the unit takes the words nearest the target.
 
-The prefix sum is two-level, so no task sees a source as a whole: documents fall in cells (source, size band, hash
-range) of bounded size, cells are counted and summed up, and ranks inside a cell start at the cell's first rank.
+The prefix sum has two levels, so no task sees a source as a whole: documents fall in cells (source, hash range) of
+bounded size, cells are counted and summed up, and ranks inside a cell start at the cell's first rank.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from lectern.llm.store import table
 
 CELL = 5_000
+#: Random offsets drawn for a source; the one whose words come nearest the target is used.
+OFFSETS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -49,11 +51,17 @@ def targets(sizes: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1,
     return ranked.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def band(size: Column) -> Column:
-    """Sizes below 64 by themselves, above in steps of one 32nd of a power of two."""
-    e = F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")
-    step = F.shiftright(size.cast("bigint"), 0) / F.pow(F.lit(2.0), e - 5)
-    return F.when(size < 64, size.cast("int")).otherwise(e * 64 + F.floor(step).cast("int") + 64).cast("int")
+def _offset(k: int | Column) -> Column:
+    """The k-th offset tried: one random number a source, shifted evenly round the unit."""
+    at = F.col("base") + (F.lit(k) if isinstance(k, int) else k) / F.lit(float(OFFSETS))
+    return at - F.floor(at)
+
+
+def _copies(offset: Column, most: int) -> Column:
+    """Whole boundaries that the prefix sum of ``rate`` crosses at ``rank``; the whole part of the rate is set apart, so it is exact."""
+    part = F.col("rate") - F.floor("rate")
+    n = F.floor("rate") + F.floor(offset + part * (F.col("rank") + 1)) - F.floor(offset + part * F.col("rank"))
+    return F.least(n, F.lit(int(most))).cast("int")
 
 
 def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", most: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
@@ -63,31 +71,34 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     apart by nothing but id and source, so repeated rows, as null ids, stand side by side in the order and share their
     copies out in any order of equals. Equal runs give equal results. An empty table gives an empty result.
     """
-    names = {id: "_id", source: "_source"}
     rows = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{source}`").cast("string").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"))
-    rows = rows.withColumn("h", F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(seed))).withColumn("band", band(F.col("size")))
+    rows = rows.withColumn("h", F.shiftleft(F.floor(F.log2(F.col("size") + 1.0)).cast("bigint"), 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(seed)), 6)))
     rows = table(rows, "sizes")
     n = rows.count()
-    bits = max(0, min(40, math.ceil(math.log2(max(1, n / CELL)))))
-    cell = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("bigint")
-    rows = rows.withColumn("cell", cell)
-    cells = rows.groupBy("_source", "band", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-    cells = table(cells, "cells")
-    bands = cells.groupBy("_source", "band").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    by_source = bands.groupBy("_source").agg(F.sum("s").alias("source_size")).withColumnRenamed("_source", "source")
+    bits = 6 + max(0, min(40, math.ceil(math.log2(max(1, n / CELL)))))
+    rows = rows.withColumn("cell", F.shiftrightunsigned("h", 64 - bits))
+    cells = table(rows.groupBy("_source", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("s")), "cells")
+    by_source = cells.groupBy("_source").agg(F.sum("s").alias("source_size")).withColumnRenamed("_source", "source")
     goal = targets(by_source, most, weights)
-    goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)).withColumn("offset", F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20)))
-    up = Window.partitionBy("_source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    first_of_band = bands.withColumn("band_first", F.coalesce(F.sum("n").over(up), F.lit(0))).drop("n", "s")
-    inside = Window.partitionBy("_source", "band").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    first_of_cell = cells.withColumn("cell_first", F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("n", "s")
-    starts = first_of_cell.alias("c").join(first_of_band.alias("b"), F.col("c._source").eqNullSafe(F.col("b._source")) & (F.col("c.band") == F.col("b.band"))).join(goal.alias("g"), F.col("c._source").eqNullSafe(F.col("g.source")))
-    starts = starts.select(F.col("c._source").alias("s_source"), F.col("c.band").alias("s_band"), F.col("c.cell").alias("s_cell"), (F.col("cell_first") + F.col("band_first")).alias("start"), "source_size", "target", "rate", "offset")
-    local = Window.partitionBy("_source", "band", "cell").orderBy("h", "_id")
+    goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0))
+    goal = goal.withColumn("base", F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+    # cells of a source are summed in two steps, so that no task gets more than a square root of them
+    cells = cells.withColumn("range", F.shiftright("cell", bits // 2))
+    ranges = cells.groupBy("_source", "range").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy("_source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col("_source").alias("r_source"), F.col("range").alias("r_range"), F.coalesce(F.sum("n").over(up), F.lit(0)).alias("range_first"))
+    inside = Window.partitionBy("_source", "range").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("cell_first", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    starts = cells.join(ranges, F.col("_source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range"))).join(goal, F.col("_source").eqNullSafe(F.col("source")))
+    starts = starts.select(F.col("_source").alias("s_source"), F.col("cell").alias("s_cell"), (F.col("cell_first") + F.col("range_first")).alias("start"), "source_size", "target", "rate", "base")
+    local = Window.partitionBy("_source", "cell").orderBy("h", "_id")
     ranked = rows.withColumn("k", F.row_number().over(local) - 1)
-    out = ranked.join(starts, F.col("_source").eqNullSafe(F.col("s_source")) & (F.col("band") == F.col("s_band")) & (F.col("cell") == F.col("s_cell")))
-    rank = F.col("start") + F.col("k")
-    part = F.col("rate") - F.floor("rate")
-    copies = F.floor("rate") + F.floor(F.col("offset") + part * (rank + 1)) - F.floor(F.col("offset") + part * rank)
-    out = out.withColumn("copies", F.least(copies, F.lit(int(most))).cast("int"))
+    placed = ranked.join(starts, F.col("_source").eqNullSafe(F.col("s_source")) & (F.col("cell") == F.col("s_cell")))
+    placed = table(placed.select("_id", "_source", "size", "source_size", "target", "rate", (F.col("start") + F.col("k")).alias("rank"), "base"), "placed")
+    tried = [_copies(_offset(k), most) for k in range(OFFSETS)]
+    sums = placed.groupBy("_source", "target").agg(*(F.sum(F.col("size") * c).alias(f"t{k}") for k, c in enumerate(tried)))
+    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS))))["k"]
+    chosen = sums.select(F.col("_source").alias("c_source"), nearest.alias("pick"))
+    out = placed.join(chosen, F.col("_source").eqNullSafe(F.col("c_source")))
+    out = out.withColumn("copies", _copies(_offset(F.col("pick")), most))
     return out.select(F.col("_id").alias(id), "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))

@@ -30,13 +30,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.near import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.mixing import mix
 
     return mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_exact_dedup, op5_quality_rules, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_exact_dedup, op5_quality_rules, op8_ngram_jaccard, op9_mixing)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
