@@ -18,6 +18,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.substring import substring_dedup
+
+    return substring_dedup(documents(spark, sf_dir), digest=True)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.exact import exact_dedup
 
@@ -42,7 +48,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_exact_dedup, op5_quality_rules, op8_ngram_jaccard, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_substring_dedup, op4_exact_dedup, op5_quality_rules, op8_ngram_jaccard, op9_mixing)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
