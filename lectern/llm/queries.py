@@ -10,6 +10,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.classifier import classify
+
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +42,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pii import find_pii
+
+    return find_pii(documents(spark, sf_dir)).drop("found")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.language import identify
+
+    return identify(documents(spark, sf_dir))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.near import near_duplicates
 
@@ -48,7 +66,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_substring_dedup, op4_exact_dedup, op5_quality_rules, op8_ngram_jaccard, op9_mixing)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.secrets import find_secrets
+
+    return find_secrets(documents(spark, sf_dir)).drop("found")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_substring_dedup, op4_exact_dedup, op5_quality_rules, op6_pii, op7_language_id, op8_ngram_jaccard, op9_mixing, op10_secrets)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
