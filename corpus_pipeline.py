@@ -22,10 +22,19 @@ from lectern.llm.store import table
 VOCABULARY = "word_bpe_49k.json"
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _with(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
     """Documents with the verdicts on their ids. One shuffle of the texts and no sort: the build side holds ids alone."""
-    found = verdicts.withColumnsRenamed({"doc_id": "_verdict_id"}).hint("shuffle_hash")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_verdict_id"]), how)
+    key = _unused(docs, "_verdict_id")
+    found = verdicts.withColumnRenamed("doc_id", key).hint("shuffle_hash")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[key]), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +46,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document of the largest id; of rows that repeat both, one."""
     kept = _with(docs, exact_dedup(docs).where("kept").select("doc_id"), "left_semi")
     same = Window.partitionBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy(F.lit(0))
-    return kept.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
+    number = _unused(docs, "_number")
+    return kept.withColumn(number, F.row_number().over(same)).where(F.col(number) == 1).drop(number)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +58,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = _with(docs, copies, "inner")
-    return taken.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).drop("_copy")
+    copies = mix(docs).groupBy("doc_id").agg(F.max("copies").alias(n := _unused(docs, "_copies"))).where(F.col(n) > 0)
+    taken = _with(docs, copies, "inner").withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(n))))
+    return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
