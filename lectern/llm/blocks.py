@@ -92,4 +92,24 @@ def shared_in_range(packets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.nda
     every = np.concatenate([v for v, _ in packets]) if packets else np.zeros(0, np.uint64)
     order = np.sort(every)
     twice = order[1:][order[1:] == order[:-1]]
-    return [many | np.isin(v, twice, assume_unique=False, kind="sort") if len(twice) else many for v, many in packets]
+    if not len(twice):
+        return [many for _, many in packets]
+    twice = twice[runs(twice)]
+    return [many | (twice[np.minimum(np.searchsorted(twice, v), len(twice) - 1)] == v) for v, many in packets]
+
+
+def levels_in_range(packets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of each packet's fingerprints 0 if no other document has them, else one more than the logarithm of the blocks that do."""
+    if not packets:
+        return []
+    every = np.sort(np.concatenate([v for v, _ in packets]))
+    at = runs(every)
+    distinct = every[at]
+    level = np.floor(np.log2(np.diff(np.append(at, len(every))))).astype(np.uint8)
+    of_many = [v[m] for v, m in packets]
+    own = np.unique(np.concatenate(of_many))
+    level[level > 0] += 1
+    twice = np.zeros(len(distinct), bool)
+    twice[np.searchsorted(distinct, own)] = True
+    level[twice & (level == 0)] = 1  # several documents of one block: the same for all blocks that have it
+    return [level[np.searchsorted(distinct, v)] for v, _ in packets]

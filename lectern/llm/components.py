@@ -9,7 +9,7 @@ from lectern.llm.store import table
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) of whole numbers -> (node, label): of each node with an edge, the least node that it reaches.
+    """(a, b) of any orderable kind -> (node, label): of each node with an edge, the least node that it reaches.
 
     Each round, a label hooks to the least label that an edge connects it with, then every edge moves to its ends'
     labels and edges within a label disappear; chains of hooks are followed to their ends first. The edges left at

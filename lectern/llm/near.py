@@ -3,8 +3,8 @@
 1. A first exchange (``blocks``) tells of each shingle whether another document has it. A document links with another
    only if the threshold's share of its own shingles is shared, so most documents end here.
 2. Of the rest, documents of equal sets form classes; one document stands for each.
-3. Representatives that share a shingle of their prefixes (the first n - ceil(t n) + 1 in one order of all shingles:
-   linked sets must share one) belong to one candidate cluster.
+3. Representatives that share a shingle of their prefixes (the first n - ceil(t n) + 1 in one order of all shingles, by
+   how many blocks have them, rare ones first: linked sets must share one) belong to one candidate cluster.
 4. Each cluster is searched by T-occurrence: a document's inverted lists, least first; the long ones are set aside
    (DivideSkip), the short ones are merged, and documents that occur often enough there are probed in the long ones by
    binary search, until the overlap that the threshold requires is reached or out of reach. Clusters beyond one task's
@@ -18,7 +18,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,9 @@ from lectern.llm.textbytes import FIRST, Words, chunks
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 K = 5
-CLUSTER_ITEMS = 1_500_000
+CLUSTER_ITEMS = 300_000
+#: Postings merged in the time of one binary probe.
+PROBE = 60
 
 
 def shingles(text: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -77,47 +78,53 @@ def _send(k: int, ranges: int):
 def _answer(t: pa.Table) -> pa.Table:
     low = [B.unpack(x) for x in t.column("low").to_pylist()]
     packets = [(v, B.unpack_bits(m, len(v))) for v, m in zip(low, t.column("many").to_pylist())]
-    return pa.table({"range": t.column("range"), "block": t.column("block"), "shared": pa.array([B.pack_bits(x) for x in B.shared_in_range(packets)], pa.binary())})
+    return pa.table({"range": t.column("range"), "block": t.column("block"), "level": pa.array([x.tobytes() for x in B.levels_in_range(packets)], pa.binary())})
 
 
 def _survivors(k: int, ranges: int, percent: int, kind: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = docs.sort_by("_id")
         n = docs.num_rows
         row, h = shingles(docs.column("_text"), k) if n else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         distinct, _, where = _distinct(h, ranges)
-        bits = dict(zip(answers.column("range").to_pylist(), answers.column("shared").to_pylist()))
-        flags = np.concatenate([B.unpack_bits(bits[r], j - i) for r, i, j in B.by_range(distinct)]) if len(distinct) else np.zeros(0, bool)
+        data = dict(zip(answers.column("range").to_pylist(), answers.column("level").to_pylist()))
+        level = np.concatenate([np.frombuffer(data[r], np.uint8) for r, _, _ in B.by_range(distinct)]) if len(distinct) else np.zeros(0, np.uint8)
+        level = level[where]
         size = np.bincount(row, minlength=n)
-        shared = np.bincount(row[flags[where]], minlength=n) if len(h) else np.zeros(n, int)
+        shared = np.bincount(row[level > 0], minlength=n) if len(h) else np.zeros(n, int)
         alive = (size > 0) & (100 * shared >= percent * size)
         first = np.concatenate([[0], np.cumsum(size)])
-        signature, sets, seen = [], [], set()
+        signature, sets, prefixes, seen = [], [], [], set()
         for d in range(n):
             if not alive[d]:
                 signature.append(None)
                 sets.append(None)
+                prefixes.append(None)
                 continue
-            data = h[first[d] : first[d + 1]].tobytes()
+            own = h[first[d] : first[d + 1]]
+            data = own.tobytes()
             s = hashlib.sha256(data).digest()[:16]
             signature.append(s)
-            sets.append(None if s in seen else data)
+            sets.append(None if s in seen else data)  # a block keeps a set once, with the least of its ids
+            prefixes.append(None if s in seen else prefix(own, level[first[d] : first[d + 1]], percent).tobytes())
             seen.add(s)
-        return pa.table({"_id": docs.column("_id"), "n": pa.array(size, pa.int64()), "signature": pa.array(signature, pa.binary()), "hashes": pa.array(sets, pa.binary())})
+        return pa.table({"_id": docs.column("_id"), "n": pa.array(size, pa.int64()), "signature": pa.array(signature, pa.binary()), "prefix": pa.array(prefixes, pa.binary()), "hashes": pa.array(sets, pa.binary())})
 
     return run
 
 
-def prefix(h: np.ndarray, percent: int) -> np.ndarray:
+def prefix(h: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the order of all: the rarer first, then by hash. Linked sets share one of these."""
     n = len(h)
-    return h[: n - (percent * n + 99) // 100 + 1]
+    return h[np.lexsort((h, level))[: n - (percent * n + 99) // 100 + 1]]
 
 
-def _prefixes(percent: int):
+def _prefixes():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                p = prefix(np.frombuffer(data, np.uint64), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), rep), pa.int64())], names=["h", "rep"])
+            n = [len(x) // 8 for x in batch.column(1).to_pylist()]
+            h = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))], names=["h", "node"])
 
     return run
 
@@ -134,6 +141,7 @@ class Index:
         every = every[order]
         at = B.runs(every)
         self.token, self.start = every[at], np.append(at, len(every))
+        self.posting = np.repeat(np.arange(len(at)), np.diff(self.start)) * len(sets) + self.doc  # ascending
 
     def search(self, query: np.ndarray, percent: int) -> np.ndarray:
         """The sets with 100 |both| >= percent |either|, by T-occurrence with DivideSkip."""
@@ -147,28 +155,35 @@ class Index:
         if len(where) < least:
             return np.zeros(0, np.int64)
         order = np.argsort(high - low, kind="stable")
-        low, high = low[order], high[order]
-        longest = min(len(low) - 1, least - 1)  # lists set aside; a result occurs least - longest times in the others
-        short = len(low) - longest
-        counts = np.bincount(np.concatenate([self.doc[a:b] for a, b in zip(low[:short].tolist(), high[:short].tolist())]), minlength=0)
-        candidates = np.flatnonzero(counts >= max(1, least - longest))
-        both = counts[candidates]
-        need = -(-percent * (q + self.size[candidates]) // (100 + percent))
-        left = longest
-        for a, b in zip(low[short:].tolist(), high[short:].tolist()):
-            go = both + left >= need
-            if not go.all():
-                candidates, both, need = candidates[go], both[go], need[go]
-            if not len(candidates):
-                break
-            posting = self.doc[a:b]
-            at = np.searchsorted(posting, candidates)
-            hit = at < len(posting)
-            hit[hit] = posting[at[hit]] == candidates[hit]
-            both = both + hit
-            left -= 1
+        low, high, where = low[order], high[order], where[order]
+        aside = least - 1  # a result occurs at least once in the others, which are merged first
+        counts = self._merge(low[: len(low) - aside], high[: len(low) - aside])
+        candidates = np.flatnonzero(counts)
+        size = self.size[candidates]
+        need = -(-percent * (q + size) // (100 + percent))
+        go = np.minimum(counts[candidates] + aside, size) >= need
+        candidates, need = candidates[go], need[go]
+        if not len(candidates):
+            return candidates
+        low, high, where = low[len(low) - aside :], high[len(high) - aside :], where[len(where) - aside :]
+        # a list is long if probing it for the candidates costs less than merging it
+        long = high - low > PROBE * len(candidates)
+        both = (counts + self._merge(low[~long], high[~long]))[candidates]
+        left = int(long.sum())
+        go = both + left >= need
+        candidates, both, need, where = candidates[go], both[go], need[go], where[long]
+        if left and len(candidates):
+            wanted = where[:, None] * len(self.size) + candidates
+            at = np.minimum(np.searchsorted(self.posting, wanted.ravel()), len(self.posting) - 1)
+            both = both + (self.posting[at] == wanted.ravel()).reshape(wanted.shape).sum(0)
         return candidates[both >= need]
 
+    def _merge(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How often each set occurs in these lists."""
+        if not len(low):
+            return np.zeros(len(self.size), np.int64)
+        return np.bincount(np.concatenate([self.doc[a:b] for a, b in zip(low.tolist(), high.tolist())]), minlength=len(self.size))
+
 
 def _find(parent: list[int], x: int) -> int:
     while parent[x] != x:
@@ -182,7 +197,8 @@ def _search(percent: int):
 
     def run(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        rep, many, part = (np.array(t.column(c).to_pylist(), np.int64) for c in ("rep", "many", "part"))
+        many, part = (np.array(t.column(c).to_pylist(), np.int64) for c in ("many", "part"))
+        node = t.column("node").combine_chunks()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
         index = Index([sets[x] for x in right])
@@ -199,7 +215,7 @@ def _search(percent: int):
                 if a != b:
                     parent[max(a, b)] = min(a, b)
         root = [_find(parent, x) for x in range(len(sets))]
-        return pa.table({"rep": pa.array(rep), "links": pa.array(links), "root": pa.array(rep[root] if len(rep) else rep)})
+        return pa.table({"node": node, "links": pa.array(links), "root": node.take(pa.array(root, pa.int64()))})
 
     return run
 
@@ -218,31 +234,37 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     nameless = base.where("_id is null").select("_id", "_any")
     base = base.where("_id is not null").select("_id", F.coalesce("_text", F.lit("")).alias("_text"), B.block_of(F.col("_id"), count).alias("block"))
     sent = base.groupBy("block").applyInArrow(_send(k, ranges), "range bigint, block int, low binary, many binary")
-    answers = sent.groupBy("range").applyInArrow(_answer, "range bigint, block int, shared binary")
-    docs = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors(k, ranges, percent, pa.int64()), "_id bigint, n bigint, signature binary, hashes binary")
+    answers = sent.groupBy("range").applyInArrow(_answer, "range bigint, block int, level binary")
+    docs = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors(k, ranges, percent, pa.int64()), "_id bigint, n bigint, signature binary, prefix binary, hashes binary")
     docs = table(docs, "shingled")
-    classes = docs.where("signature is not null").groupBy("signature").agg(F.min("_id").alias("rep"), F.count("*").alias("many"))
-    sets = docs.where("hashes is not null").select(F.col("signature").alias("s2"), F.col("_id").alias("id2"), "hashes")
-    # a block keeps a set once, at its first row; any of those rows serves for the class
-    one = sets.groupBy("s2").agg(F.min("id2").alias("id2"))
-    sets = sets.join(one, ["s2", "id2"]).dropDuplicates(["s2"])
-    classes = table(classes.join(sets, F.col("signature") == F.col("s2")).select("signature", "rep", "many", "hashes"), "classes")
-    keys = table(classes.select("rep", "hashes").mapInArrow(_prefixes(percent), "h bigint, rep bigint"), "prefixes")
-    hubs = keys.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub")
-    edges = keys.join(hubs, "h").where("rep <> hub").select("rep", "hub").distinct()
-    clusters = components(edges.withColumnsRenamed({"rep": "a", "hub": "b"}))
-    members = classes.join(clusters, classes["rep"] == clusters["node"]).select("rep", "many", "hashes", "label")
+    # the document of the least id that has its class's set with it stands for the class; sets themselves aren't shuffled
+    classes = docs.where("signature is not null").groupBy(F.col("signature").alias("node")).agg(F.min("_id").alias("least"), F.min(F.when(F.col("hashes").isNotNull(), F.col("_id"))).alias("holder"), F.count("*").alias("many"))
+    classes = table(classes, "classes")
+    held = (docs["signature"] == classes["node"]) & (docs["_id"] == classes["holder"])
+    keys = docs.where("prefix is not null").join(classes, held).select("node", "prefix").mapInArrow(_prefixes(), "h bigint, node binary")
+    keys = table(keys, "prefixes")
+    hubs = keys.groupBy("h").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub")
+    edges = keys.join(hubs, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    clusters = components(edges).select(F.col("node").alias("node2"), "label")
+    chosen = table(classes.join(clusters, F.col("node") == F.col("node2")).select("node", "holder", "many", "label"), "chosen")
+    members = docs.where("hashes is not null").join(chosen, (docs["signature"] == chosen["node"]) & (docs["_id"] == chosen["holder"])).select("node", "many", "hashes", "label")
     members = table(members, "members")
-    shares = members.groupBy("label").agg(F.ceil(F.sum(F.octet_length("hashes")) / 8 / CLUSTER_ITEMS).cast("int").alias("parts"))
-    split = members.join(shares, "label").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    size = F.octet_length("hashes") / 8
+    tasks_wanted = math.ceil((members.agg(F.sum(size)).first()[0] or 0) / CLUSTER_ITEMS * 4) + 1
+    shares = members.groupBy("label").agg(F.ceil(F.sum(size) / CLUSTER_ITEMS).cast("int").alias("parts"))
+    split = members.join(shares, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     tasks = split.select("*", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    found = table(tasks.groupBy("label", "i", "j").applyInArrow(_search(percent), "rep bigint, links bigint, root bigint"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = components(found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
-    info = classes.select("signature", "rep", "many").join(links, "rep", "left").join(linked, F.col("rep") == F.col("node"), "left")
-    info = info.select(F.col("signature").alias("s2"), (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("label", "rep").alias("component"))
-    out = docs.join(info, F.col("signature") == F.col("s2"), "left").select(F.col("_id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("bigint").alias("n_similar"), F.coalesce("component", "_id").alias("component_id"))
+    tasks = tasks.repartition(tasks_wanted, "label", "i", "j")  # few bytes, but work: not to be coalesced
+    found = table(tasks.groupBy("label", "i", "j").applyInArrow(_search(percent), "node binary, links bigint, root binary"), "links")
+    links = found.groupBy(F.col("node").alias("l_node")).agg(F.sum("links").alias("links"))
+    linked = components(found.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+    linked = linked.select(F.col("node").alias("c_node"), F.col("label").alias("c_label"))
+    info = classes.join(links, F.col("node") == F.col("l_node"), "left").join(linked, F.col("node") == F.col("c_node"), "left")
+    info = table(info.select("node", "least", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("c_label", "node").alias("group")), "info")
+    least = info.groupBy(F.col("group").alias("g")).agg(F.min("least").alias("component"))
+    info = info.join(least, F.col("group") == F.col("g")).select("node", "n_similar", "component")
+    out = docs.select("_id", "n", "signature").join(info, F.col("signature") == F.col("node"), "left").select(F.col("_id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("bigint").alias("n_similar"), F.coalesce("component", "_id").alias("component_id"))
     return out.unionByName(nameless.mapInArrow(_count_only(k), "_id bigint, n bigint").select(F.col("_id").alias(id), F.col("n").alias("n_shingles"), F.lit(0).cast("bigint").alias("n_similar"), F.lit(None).cast("bigint").alias("component_id")))
 
 
