@@ -1,0 +1 @@
+"""Prose analytics on Spark: located findings and statistics of documents, as DataFrame plans."""
