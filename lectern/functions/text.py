@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 WS = r" \t\n\r\f\x0b"
 WORD = r"_*[\p{L}\p{N}][\p{L}\p{N}_]*(?:['’-][\p{L}\p{N}_]+)*"
+#: The same without backtracking, which RE2 has no sign for.
+_WORD = r"_*+[\p{L}\p{N}][\p{L}\p{N}_]*+(?:['’-][\p{L}\p{N}_]++)*+"
 SYMBOL = r"[^\p{L}\p{N}\p{P}\p{Z}\p{C}]"
 #: A word: letters and digits with inner apostrophes and hyphens, or a symbol that is not punctuation.
 WORDS = f"{WORD}|{SYMBOL}"
@@ -23,13 +25,12 @@ CLOSERS = r"[\"'”’)\]}*_]"
 LEFT = r"(?<![\p{L}\p{N}_])(?<![\p{L}\p{N}_]['’-])"
 RIGHT = r"(?![\p{L}\p{N}_]|['’-][\p{L}\p{N}_])"
 
-_BLANK = rf"(?=[{WS}]*\n[{WS}]*\n)"
-_LIST = rf"(?=[{WS}]*\n[{WS}]*(?:[*•+]|-(?!-)))"
-_END = rf"(?=[{WS}]*\z)"
-_STOP = rf"[.!?…]+{CLOSERS}*(?=[{WS}])"
-SENTENCE = rf"(?s)[{WS}]*(?=[^{WS}]).*?(?:{_STOP}|{_BLANK}|{_LIST}|{_END})"
+# a sentence takes runs without an end in them; every run is possessive, so matching is linear and without recursion
+_RUN = rf"[^.!?…{WS}]++|[.!?…]++{CLOSERS}*+(?![{WS}])"
+_STOP = rf"(?:[.!?…]++{CLOSERS}*+)?"
+SENTENCE = rf"[{WS}]*+(?=[^{WS}])(?:{_RUN}|(?![ \t\r\f\x0b]*+\n[ \t\r\f\x0b]*+\n)(?![ \t\r\f\x0b]*+\n[ \t\r\f\x0b]*+(?:[*•+]|-(?!-)))[{WS}]++(?!\z))*+{_STOP}"
 #: Of texts whose lines are sentences: a newline ends one, too.
-SENTENCE_BY_LINE = rf"(?s)[{WS}]*(?=[^{WS}]).*?(?:{_STOP}|(?=[{WS}]*\n)|{_END})"
+SENTENCE_BY_LINE = rf"[{WS}]*+(?=[^{WS}])(?:{_RUN}|(?![ \t\r\f\x0b]*+\n)[{WS}]++(?!\z))*+{_STOP}"
 SEGMENT_BREAK = r"--|[,;:—–()]"
 
 BLOCK = 256
@@ -73,8 +74,38 @@ def pieces(parts: Column) -> Column:
 SPANS = "array<struct<start:int,end:int,text:string>>"
 
 
-def spans(text: Column, rx: str) -> Column:
-    """All matches of a pattern as (start, end, text); the pattern must not match the empty string."""
+def _sql_fold(block: str, start: str) -> str:
+    return f"aggregate({block}, named_struct('at', cast({start} as int), 'out', cast(array() as array<int>)), (acc, x) -> named_struct('at', cast(acc.at + x as int), 'out', concat(acc.out, array(acc.at))), acc -> acc.out)"
+
+
+def _sql_let(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _sql_prefix(lengths: str) -> str:
+    blocks = f"transform(sequence(0, greatest(0, cast(floor((size(n) - 1) / {BLOCK}) as int))), b -> slice(n, b * {BLOCK} + 1, {BLOCK}))"
+    starts = _sql_fold("transform(bl, k -> aggregate(k, 0, (a, x) -> cast(a + x as int)))", "0")
+    return _sql_let(lengths, "n", _sql_let(blocks, "bl", _sql_let(starts, "st", f"flatten(transform(bl, (k, i) -> {_sql_fold('k', 'get(st, i)')}))")))
+
+
+def _quoted(rx: str) -> str:
+    return "'" + rx.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def spans(text: str | Column, rx: str) -> Column:
+    """All matches of a pattern as (start, end, text); the pattern must not match the empty string.
+
+    Written as one SQL expression: built from columns, its lambdas cost the driver thousands of calls a pattern.
+    """
+    if not isinstance(text, str):
+        return let(text, lambda t: _spans_of(t, rx))
+    found = f"named_struct('g', split({text}, {_quoted(rx)}, -1), 'm', regexp_extract_all({text}, {_quoted(rx)}, 0))"
+    starts = _sql_prefix("transform(p.m, (x, i) -> cast(length(get(p.g, i)) + length(x) as int))")
+    placed = "transform(p.m, (x, i) -> named_struct('start', cast(get(s, i) + length(get(p.g, i)) as int), 'end', cast(get(s, i) + length(get(p.g, i)) + length(x) as int), 'text', x))"
+    return F.expr(f"case when rlike({text}, {_quoted(rx)}) then {_sql_let(found, 'p', _sql_let(starts, 's', placed))} else cast(array() as {SPANS}) end")
+
+
+def _spans_of(text: Column, rx: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
     gap = lambda g, i: F.length(F.get(g, i))
 
@@ -119,7 +150,7 @@ def sentence_parts(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """(start, end, text, words, letters) of each sentence, without the white space round it."""
-    trim = lambda t: F.regexp_replace(t, rf"\A[{WS}]+", "")
+    trim = lambda t: F.ltrim(t, F.lit(" \t\n\r\f\x0b"))
     return F.transform(
         pieces(sentence_parts(text)),
         lambda p: F.struct((p["end"] - F.length(trim(p["text"]))).cast("int").alias("start"), p["end"].alias("end"), trim(p["text"]).alias("text"), F.regexp_count(p["text"], F.lit(WORDS)).alias("words"), letters(p["text"]).alias("letters")),
@@ -131,8 +162,10 @@ def words(text: Column) -> Column:
 
 
 def letters(text: Column) -> Column:
-    """ASCII letters, digits and underscores inside words."""
-    return F.length(F.regexp_replace(F.array_join(words(text), " "), "[^A-Za-z0-9_]", ""))
+    """ASCII letters, digits and underscores inside words; letters and digits are always inside one."""
+    plain = F.length(F.regexp_replace(text, "[^A-Za-z0-9]++", ""))
+    exact = F.length(F.regexp_replace(F.array_join(words(text), " "), "[^A-Za-z0-9_]++", ""))
+    return F.when(F.contains(text, F.lit("_")), exact).otherwise(plain)
 
 
 def segments(text: Column) -> Column:

@@ -84,23 +84,23 @@ def markdown(df: DataFrame, text: str) -> DataFrame:
     now = F.col("_analysis")
     df = df.withColumn("_analysis", F.col(text)).withColumn("_marks", F.array().cast(MARK))
     for kind, rx in FIRST:
-        df = _step(df, _kind(spans(now, rx), kind), rx)
+        df = _step(df, _kind(spans("_analysis", rx), kind), rx)
     df = df.withColumn("_marks", F.concat("_marks", images(now)))
     for kind, rx in SECOND:
-        df = _step(df, _kind(spans(now, rx), kind), rx)
-    df = _step(df, _parts(spans(now, IMAGE), "image", "image-alt"), IMAGE, keep=2, groups=5)
-    df = _step(df, _parts(spans(now, LINK), None, "link-text"), LINK, keep=2, groups=5)
+        df = _step(df, _kind(spans("_analysis", rx), kind), rx)
+    df = _step(df, _parts(spans("_analysis", IMAGE), "image", "image-alt"), IMAGE, keep=2, groups=5)
+    df = _step(df, _parts(spans("_analysis", LINK), None, "link-text"), LINK, keep=2, groups=5)
     for kind, rx in THIRD:
-        df = _step(df, _kind(spans(now, rx), kind), rx)
+        df = _step(df, _kind(spans("_analysis", rx), kind), rx)
     # a heading runs from its marker to the end of the line
-    lines = F.transform(spans(now, HEADING + r"[^\n]*"), lambda m: F.struct((m["start"] + F.length(F.regexp_extract(m["text"], HEADING.split(")", 1)[1], 0))).cast("int").alias("start"), m["end"].alias("end"), F.lit("heading").alias("kind")))
-    df = _step(df, F.concat(_kind(spans(now, HEADING), "heading-marker"), lines), HEADING)
-    df = _step(df, _kind(spans(now, RULE), "rule"), RULE)
-    df = df.withColumn("_marks", F.concat("_marks", _kind(spans(now, ROW), "table-row")))
+    lines = F.transform(spans("_analysis", HEADING + r"[^\n]*"), lambda m: F.struct((m["start"] + F.length(F.regexp_extract(m["text"], HEADING.split(")", 1)[1], 0))).cast("int").alias("start"), m["end"].alias("end"), F.lit("heading").alias("kind")))
+    df = _step(df, F.concat(_kind(spans("_analysis", HEADING), "heading-marker"), lines), HEADING)
+    df = _step(df, _kind(spans("_analysis", RULE), "rule"), RULE)
+    df = df.withColumn("_marks", F.concat("_marks", _kind(spans("_analysis", ROW), "table-row")))
     df = df.withColumn("_analysis", F.when(now.rlike(ROW), F.array_join(F.transform(F.split(now, "\n", -1), lambda x: F.when(x.rlike(r"\|[^|]*\|"), F.replace(x, F.lit("|"), F.lit(" "))).otherwise(x)), "\n")).otherwise(now))
-    df = _step(df, _kind(spans(now, QUOTE), "blockquote"), QUOTE)
+    df = _step(df, _kind(spans("_analysis", QUOTE), "blockquote"), QUOTE)
     # a bullet becomes a newline, so that each item begins a sentence
-    df = df.withColumn("_marks", F.concat("_marks", _kind(spans(now, LIST), "list-marker")))
+    df = df.withColumn("_marks", F.concat("_marks", _kind(spans("_analysis", LIST), "list-marker")))
     gaps, found = F.split(now, LIST, -1), F.regexp_extract_all(now, F.lit(LIST), F.lit(0))
 
     def bullet(m: Column) -> Column:
@@ -109,7 +109,7 @@ def markdown(df: DataFrame, text: str) -> DataFrame:
 
     items = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x: F.concat(x["g"], F.coalesce(bullet(x["m"]), F.lit("")))), "")
     df = df.withColumn("_analysis", F.when(now.rlike(LIST), items).otherwise(now))
-    return _step(df, _kind(spans(now, EMPHASIS), "emphasis"), EMPHASIS)
+    return _step(df, _kind(spans("_analysis", EMPHASIS), "emphasis"), EMPHASIS)
 
 
 def blank_markup(df: DataFrame, kind: str, text: str = "text") -> DataFrame:

@@ -28,9 +28,17 @@ def with_field(f: Column, **values: Column) -> Column:
 
 
 def locate(findings: Column) -> Column:
-    """Findings with line, col, end_line and end_col, of the original text."""
-    raw = F.col("_original")
-    return F.transform(findings, lambda f: with_field(f, line=T.line_of(raw, f["start"]), col=T.column_of(raw, f["start"]), end_line=T.line_of(raw, f["end"]), end_col=T.column_of(raw, f["end"])))
+    """Findings with line, col, end_line and end_col, of the original text. Line starts are found once a document."""
+
+    def place(starts: Column) -> Column:
+        line = lambda at: F.size(F.filter(starts, lambda s: s <= at))
+        col = lambda at, n: (at - F.get(starts, n - 1) + 1).cast("int")
+        lines = F.transform(findings, lambda f: with_field(f, line=line(f["start"]), end_line=line(f["end"])))
+        return F.transform(lines, lambda f: with_field(f, col=col(f["start"], f["line"]), end_col=col(f["end"], f["end_line"])))
+
+    starts = T.prefix(F.transform(F.split("_original", "\n", -1), lambda x: F.length(x) + 1))
+    kind = "struct<code:string,name:string,message:string,severity:string,suggestion:string,applicability:string,text:string,start:int,end:int,line:int,end_line:int,col:int,end_col:int>"
+    return F.when(F.size(findings) > 0, T.let(starts, place)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def suppressed(findings: Column) -> Column:
@@ -47,7 +55,7 @@ def quotations(found: Column, kind: str) -> tuple[Column, Column]:
     two = F.filter(found, lambda q: F.size(F.split(T.flat(q["text"]), " ")) >= 2)
     regions = F.transform(two, lambda q: F.struct(q["start"].alias("start"), q["end"].alias("end")))
     if kind == "markdown":
-        lines = T.spans(F.col("_original"), P.QUOTE_LINES)
+        lines = T.spans("_original", P.QUOTE_LINES)
         regions = F.concat(regions, F.transform(lines, lambda q: F.struct(q["start"].alias("start"), (q["start"] + F.length(F.regexp_replace(q["text"], r"\r\z", ""))).cast("int").alias("end"))))
     return regions, F.transform(found, lambda q: F.struct((q["start"] + 1).cast("int").alias("start"), (q["end"] - 1).cast("int").alias("end")))
 
@@ -93,7 +101,7 @@ def post_passes(df: DataFrame, c: Config, kind: str) -> DataFrame:
     """``df`` with ``findings`` settled and ``counts`` by category."""
     df = df.withColumn("findings", locate(F.col("findings")))
     df = df.withColumn("findings", suppressed(F.col("findings")))
-    df = df.withColumn("_quotes", T.spans(F.col("_analysis"), P.QUOTED))
+    df = df.withColumn("_quotes", T.spans("_analysis", P.QUOTED))
     regions, mentions = quotations(F.col("_quotes"), kind)
     df = df.withColumn("_regions", regions).withColumn("_mentions", mentions)
     df = df.withColumn("findings", unquoted(F.col("findings"))).drop("_quotes", "_regions", "_mentions")
@@ -102,7 +110,7 @@ def post_passes(df: DataFrame, c: Config, kind: str) -> DataFrame:
     df = df.withColumn("findings", regraded(F.col("findings"), c))
     if c.max_grade is not None and not c.ignored("NB101"):
         one, none = F.lit(1), F.lit(None).cast("string")
-        grade = F.struct(F.lit("NB101").alias("code"), F.lit(ENTRIES["NB101"].name).alias("name"), F.concat(F.lit("grade "), F.col("grade").cast("string"), F.lit(f" is above {c.max_grade}")).alias("message"), F.lit("error").alias("severity"), none.alias("suggestion"), F.lit("advisory").alias("applicability"), F.lit("").alias("text"), F.lit(0).alias("start"), F.lit(0).alias("end"), one.alias("line"), one.alias("col"), one.alias("end_line"), one.alias("end_col"))
+        grade = F.struct(F.lit("NB101").alias("code"), F.lit(ENTRIES["NB101"].name).alias("name"), F.concat(F.lit("grade "), F.col("grade").cast("string"), F.lit(f" is above {c.max_grade}")).alias("message"), F.lit("error").alias("severity"), none.alias("suggestion"), F.lit("advisory").alias("applicability"), F.lit("").alias("text"), F.lit(0).alias("start"), F.lit(0).alias("end"), one.alias("line"), one.alias("end_line"), one.alias("col"), one.alias("end_col"))
         df = df.withColumn("findings", F.when(F.col("grade") > c.max_grade, F.concat("findings", F.array(grade))).otherwise(F.col("findings")))
     order = F.transform("findings", lambda f, i: F.struct(f["line"].alias("line"), f["col"].alias("col"), f["code"].alias("code"), i.alias("i"), f.alias("f")))
     return df.withColumn("findings", F.transform(F.array_sort(order, lambda a, b: _compare(a, b, "line", "col", "code", "i")), lambda x: x["f"]))

@@ -20,7 +20,11 @@ from lectern.operators import patterns as P
 from lectern.operators.registry import ENTRIES
 
 FINDING = "array<struct<code:string,name:string,message:string,severity:string,suggestion:string,applicability:string,text:string,start:int,end:int>>"
-NONE = F.lit(None).cast("string")
+
+
+def nothing() -> Column:
+    return F.lit(None).cast("string")
+
 
 #: lists that a code reads
 LISTS = {"NB303": "qualifier", "NB401": "complex", "NB315": "terminology", "NB502": "puffery", "NB503": "editorializing", "NB504": "filler", "NB505": "transition", "NB510": "intensifier", "NB517": "praise", "NB308": "presupposition", "NB316": "authority"}
@@ -33,7 +37,7 @@ def text_between(start: Column, end: Column, text: str = "_analysis") -> Column:
 def issue(code: str, start: Column, end: Column, message: Column | str, severity: Column | str = "warning", suggestion: Column | None = None, applicability: Column | str | None = None, text: Column | None = None) -> Column:
     """One finding. Without a suggestion it is advisory; an empty suggestion means to delete."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    suggestion = NONE if suggestion is None else suggestion.cast("string")
+    suggestion = nothing() if suggestion is None else suggestion.cast("string")
     how = F.when(suggestion.isNull(), "advisory").otherwise(lit("replace" if applicability is None else applicability))
     return F.struct(F.lit(code).alias("code"), F.lit(ENTRIES[code].name).alias("name"), lit(message).alias("message"), lit(severity).alias("severity"), suggestion.alias("suggestion"), how.alias("applicability"), (text_between(start, end) if text is None else text).alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"))
 
@@ -112,14 +116,16 @@ def hard_sentences(c: Config) -> Column:
 
 def adverbs_classic(c: Config) -> Column:
     skip = [*phrases("adverb_exception")]
-    found = F.filter(T.spans(F.col("_analysis"), P.CLASSIC_WORD), lambda m: F.lower(m["text"]).endswith("ly") & (F.length(m["text"]) > 3) & ~F.lower(m["text"]).isin(*skip))
+    lead, tail = (lambda m: F.length(F.regexp_extract(m["text"], r"\A['-]*", 0))), (lambda m: F.length(F.regexp_extract(m["text"], r"['-]*\z", 0)))
+    bare = lambda m: F.struct((m["start"] + lead(m)).cast("int").alias("start"), (m["end"] - tail(m)).cast("int").alias("end"), F.regexp_replace(m["text"], r"\A['-]+|['-]+\z", "").alias("text"))
+    found = F.filter(F.transform(T.spans("_analysis", P.LY_RUN), bare), lambda m: (F.length(m["text"]) > 3) & ~F.lower(m["text"]).isin(*skip))
     return each("NB301", found, lambda m: quote("adverb ", m["text"], " (surface rule): cut it or find a stronger verb"))
 
 
 def passives_classic(c: Config) -> Column:
     irregular = [*phrases("participle")]
     word = lambda m: F.lower(F.regexp_extract(m["text"], rf"(?i)\A{P.S}[a-z]+{P.S}([a-z]+)", 1))
-    found = F.filter(T.spans(F.col("_analysis"), P.CLASSIC_PASSIVE), lambda m: word(m).endswith("ed") | word(m).isin(*irregular))
+    found = F.filter(T.spans("_analysis", P.CLASSIC_PASSIVE), lambda m: word(m).endswith("ed") | word(m).isin(*irregular))
     found = F.transform(found, lambda m: F.struct((m["start"] + 1).cast("int").alias("start"), m["end"].alias("end"), F.substring(m["text"], F.lit(2), F.length(m["text"])).alias("text")))
     return each("NB302", found, lambda m: quote("passive ", m["text"], " (surface rule): name who acts"))
 
@@ -138,8 +144,8 @@ def qualifiers(c: Config) -> Column:
 
 
 def repeated_words(c: Config) -> Column:
-    rx = rf"(?iu){T.LEFT}(\p{{L}}+){T.RIGHT}(?:[{T.WS}]+\1{T.RIGHT})+"
-    twice = F.filter(T.spans(F.col("_analysis"), rx), lambda m: (F.size(F.split(m["text"], rf"[{T.WS}]+")) == 2) & ~F.lower(F.substring_index(T.flat(m["text"]), " ", 1)).isin("had", "that"))
+    rx = rf"(?iu)(?=\p{{L}}++[{T.WS}]){T.LEFT}(\p{{L}}++)(?:[{T.WS}]++\1{T.RIGHT})+"
+    twice = F.filter(T.spans("_analysis", rx), lambda m: (F.size(F.split(m["text"], rf"[{T.WS}]+")) == 2) & ~F.lower(F.substring_index(T.flat(m["text"]), " ", 1)).isin("had", "that"))
     return each("NB306", twice, lambda m: quote("repeated word ", T.flat(m["text"])), suggestion=lambda m: F.substring_index(T.flat(m["text"]), " ", 1), applicability="replace")
 
 
@@ -147,9 +153,9 @@ def uncomparables(c: Config) -> Column:
     """Degree word and absolute adjective side by side; the adjective is known by its form alone."""
     strong = "very quite extremely somewhat rather really incredibly remarkably fairly pretty hugely tremendously"
     hard, soft = "unique perfect impossible infinite eternal unanimous identical inevitable irrevocable unprecedented", "essential universal ideal ultimate absolute"
-    rx = rf"(?i){T.LEFT}(?:{P.any_of('more most less least ' + strong)} {P.any_of(hard)}|{P.any_of(strong)} {P.any_of(soft)}){T.RIGHT}"
+    rx = rf"(?i){P.opens('mlvqesritfph')}{T.LEFT}(?:{P.any_of('more most less least ' + strong)} {P.any_of(hard)}|{P.any_of(strong)} {P.any_of(soft)}){T.RIGHT}"
     last = lambda m: F.substring_index(m["text"], " ", -1)
-    return each("NB307", T.spans(F.col("_analysis"), rx), lambda m: quote("no degrees of ", last(m)), suggestion=lambda m: F.when(starts_sentence(m["start"]), F.initcap(last(m))).otherwise(last(m)), applicability="replace")
+    return each("NB307", T.spans("_analysis", rx), lambda m: quote("no degrees of ", last(m)), suggestion=lambda m: F.when(starts_sentence(m["start"]), F.initcap(last(m))).otherwise(last(m)), applicability="replace")
 
 
 def condescending(c: Config) -> Column:
@@ -160,7 +166,7 @@ def condescending(c: Config) -> Column:
 def acronyms(c: Config) -> Column:
     """First use of each acronym that nothing expands; needs the user's list of English words."""
     text = F.col("_analysis")
-    found = T.spans(text, rf"{T.LEFT}[A-Z]{{2,6}}{T.RIGHT}")
+    found = T.spans("_analysis", rf"{T.LEFT}[A-Z]{{2,6}}{T.RIGHT}")
     inside = F.regexp_extract_all(F.array_join(F.regexp_extract_all(text, F.lit(r"\(([^)]{2,120})\)"), F.lit(1)), " | "), F.lit(rf"{P.L}([A-Z]{{2,6}})s?{P.R}"), F.lit(1))
     before = F.regexp_extract_all(text, F.lit(rf"{P.L}([A-Z]{{2,6}})s?{P.R}(?=[^(]{{0,10}}\([^)]{{2,120}}\))"), F.lit(1))
     dashed = F.regexp_extract_all(text, F.lit(rf"(?<=\n|\A)[{T.WS}>*_-]*([A-Z]{{2,6}})\**{P.S}*[—–:-]{P.S}*[^{T.WS}]"), F.lit(1))
@@ -194,8 +200,8 @@ def authority(c: Config) -> Column:
 def hidden(c: Config) -> Column:
     raw = F.col("_original")
     own = lambda m: m["text"]
-    gone = each("NB317", T.spans(raw, P.HIDDEN), lambda m: F.concat(F.lit("invisible character U+"), F.lpad(F.hex(F.conv(F.hex(F.encode(m["text"], "UTF-16BE")), 16, 10).cast("bigint")), 4, "0")), suggestion=F.lit(""), applicability="replace", text=own)
-    return F.concat(gone, each("NB317", T.spans(raw, P.LOOKALIKE), lambda m: quote("look-alike character in ", m["text"]), suggestion=F.lit("retype the word in a single alphabet"), applicability="rewrite", text=own))
+    gone = each("NB317", T.spans("_original", P.HIDDEN), lambda m: F.concat(F.lit("invisible character U+"), F.lpad(F.hex(F.conv(F.hex(F.encode(m["text"], "UTF-16BE")), 16, 10).cast("bigint")), 4, "0")), suggestion=F.lit(""), applicability="replace", text=own)
+    return F.concat(gone, each("NB317", T.spans("_original", P.LOOKALIKE), lambda m: quote("look-alike character in ", m["text"]), suggestion=F.lit("retype the word in a single alphabet"), applicability="rewrite", text=own))
 
 
 def complex_phrases(c: Config) -> Column:
@@ -253,7 +259,7 @@ def negation(c: Config) -> Column:
     """All shapes in order; a match that overlaps an accepted one is dropped."""
     text = F.col("_analysis")
     tag = lambda level: lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.lit(level).alias("level"))
-    tagged = [F.transform(T.spans(text, rx), tag(level)) for level, group in (("warning", P.NEGATION), ("info", P.NEGATION_ADVISORY)) for rx in group]
+    tagged = [F.transform(T.spans("_analysis", rx), tag(level)) for level, group in (("warning", P.NEGATION), ("info", P.NEGATION_ADVISORY)) for rx in group]
     kind = "array<struct<start:int,end:int,text:string,level:string>>"
     kept = F.aggregate(F.concat(*tagged), F.array().cast(kind), lambda acc, m: F.when(F.exists(acc, lambda k: (m["start"] < k["end"]) & (k["start"] < m["end"])), acc).otherwise(F.concat(acc, F.array(m).cast(kind))))
     return F.transform(kept, lambda m: issue("NB501", m["start"], m["end"], quote("negation and contrast: ", F.trim(m["text"])), m["level"], text=F.trim(m["text"])))
@@ -262,11 +268,11 @@ def negation(c: Config) -> Column:
 def em_dashes(c: Config) -> Column:
     enough = lambda n: (n >= 3) & (F.col("n_words") > 0) & (n * 1000 >= F.col("n_words") * 12)
     says = lambda n: F.concat(n.cast("string"), F.lit(" em dashes in "), F.col("n_words").cast("string"), F.lit(" words"))
-    return T.let(T.spans(F.col("_analysis"), P.EM_DASH), lambda f: first_of("NB506", f, enough(F.size(f)), says(F.size(f))))
+    return T.let(T.spans("_analysis", P.EM_DASH), lambda f: first_of("NB506", f, enough(F.size(f)), says(F.size(f))))
 
 
 def emoji(c: Config) -> Column:
-    return T.let(T.spans(F.col("_analysis"), P.EMOJI), lambda f: first_of("NB508", f, F.size(f) >= 3, F.concat(F.size(f).cast("string"), F.lit(" emoji as formatting"))))
+    return T.let(T.spans("_analysis", P.EMOJI), lambda f: first_of("NB508", f, F.size(f) >= 3, F.concat(F.size(f).cast("string"), F.lit(" emoji as formatting"))))
 
 
 def phrase_rule(code: str, says: str, severity: str = "warning", cut: bool = False) -> Callable[[Config], Column]:
@@ -310,7 +316,7 @@ def rhythm(c: Config) -> Column:
 
 
 def pattern_rule(code: str, rx: str, says: str, severity: str = "info", **more) -> Callable[[Config], Column]:
-    return lambda c: each(code, T.spans(F.col("_analysis"), rx), lambda m: quote(says + " ", T.flat(m["text"])), severity, **more)
+    return lambda c: each(code, T.spans("_analysis", rx), lambda m: quote(says + " ", T.flat(m["text"])), severity, **more)
 
 
 def openers(c: Config) -> Column:
@@ -329,7 +335,7 @@ def openers(c: Config) -> Column:
 def curly(c: Config) -> Column:
     text = F.col("_analysis")
     few = F.regexp_count(text, F.lit(P.CURLY)) < F.regexp_count(text, F.lit(P.STRAIGHT))
-    return F.when(few, each("NB513", T.spans(text, P.CURLY), lambda m: quote("curly quote ", m["text"], " among straight ones"), "info")).otherwise(F.array().cast(FINDING))
+    return F.when(few, each("NB513", T.spans("_analysis", P.CURLY), lambda m: quote("curly quote ", m["text"], " among straight ones"), "info")).otherwise(F.array().cast(FINDING))
 
 
 def in_code(at: Column) -> Column:
@@ -341,7 +347,7 @@ def headings() -> Column:
     """Headings of the original text, outside code: the span of their words."""
     lead = lambda m: F.length(F.regexp_extract(m["text"], r"\A#{1,6}[ \t]+", 0))
     body = lambda m: F.regexp_replace(F.regexp_replace(m["text"], r"\A#{1,6}[ \t]+", ""), r"[ \t]*#*\z", "")
-    found = F.transform(T.spans(F.col("_original"), P.HEADING), lambda m: F.struct((m["start"] + lead(m)).cast("int").alias("start"), (m["start"] + lead(m) + F.length(body(m))).cast("int").alias("end"), body(m).alias("text")))
+    found = F.transform(T.spans("_original", P.HEADING), lambda m: F.struct((m["start"] + lead(m)).cast("int").alias("start"), (m["start"] + lead(m) + F.length(body(m))).cast("int").alias("end"), body(m).alias("text")))
     return F.filter(found, lambda m: ~in_code(m["start"]))
 
 
@@ -358,24 +364,24 @@ def contrast_headings(c: Config) -> Column:
 
 def hyphens(c: Config) -> Column:
     tail = lambda m: F.regexp_extract(m["text"], r"[^ \t\n\r\f\x0b]+\z", 0)
-    found = F.transform(T.spans(F.col("_analysis"), P.HYPHEN), lambda m: F.struct((m["end"] - F.length(tail(m))).cast("int").alias("start"), m["end"].alias("end"), tail(m).alias("text")))
+    found = F.transform(T.spans("_analysis", P.HYPHEN), lambda m: F.struct((m["end"] - F.length(tail(m))).cast("int").alias("start"), m["end"].alias("end"), tail(m).alias("text")))
     return each("NB515", found, lambda m: quote("no hyphen after a verb: ", m["text"]), "info", suggestion=lambda m: F.replace(m["text"], F.lit("-"), F.lit(" ")), applicability="replace")
 
 
 def bold_lists(c: Config) -> Column:
     raw = F.col("_original")
-    at_stars = lambda rx: F.filter(F.transform(T.spans(raw, rx), lambda m: F.struct((m["start"] + F.position(F.lit("**"), m["text"]) - 1).cast("int").alias("start"), m["end"].alias("end"), F.regexp_extract(m["text"], r"(?s)\*\*.*\z", 0).alias("text"))), lambda m: ~in_code(m["start"] + 2))
+    at_stars = lambda rx: F.filter(F.transform(T.spans("_original", rx), lambda m: F.struct((m["start"] + F.position(F.lit("**"), m["text"]) - 1).cast("int").alias("start"), m["end"].alias("end"), F.regexp_extract(m["text"], r"(?s)\*\*.*\z", 0).alias("text"))), lambda m: ~in_code(m["start"] + 2))
     one = T.let(at_stars(P.BOLD), lambda f: first_of("NB516", f, F.size(f) >= 3, F.concat(F.size(f).cast("string"), F.lit(" bold labels")), "info"))
     return F.concat(one, each("NB516", at_stars(P.BOLD_PERIOD), lambda m: quote("bold label ends in a period: ", m["text"]), "info", text=lambda m: m["text"]))
 
 
 def artifacts(c: Config) -> Column:
     raw = F.col("_original")
-    return F.concat(*(each("NB519", T.spans(raw, rx), lambda m, kind=kind: quote(f"left by a tool, {kind}: ", m["text"]), text=lambda m: m["text"]) for kind, rx in P.ARTIFACTS.items()))
+    return F.concat(*(each("NB519", T.spans("_original", rx), lambda m, kind=kind: quote(f"left by a tool, {kind}: ", m["text"]), text=lambda m: m["text"]) for kind, rx in P.ARTIFACTS.items()))
 
 
 def hedge_stacks(c: Config) -> Column:
-    return each("NB520", T.spans(F.col("_analysis"), P.HEDGES), lambda m: quote("stacked hedge ", m["text"]), suggestion=lambda m: F.substring_index(T.flat(m["text"]), " ", 1), applicability="replace")
+    return each("NB520", T.spans("_analysis", P.HEDGES), lambda m: quote("stacked hedge ", m["text"]), suggestion=lambda m: F.substring_index(T.flat(m["text"]), " ", 1), applicability="replace")
 
 
 def paragraph_openers(c: Config) -> Column:
