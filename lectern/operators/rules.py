@@ -221,7 +221,7 @@ def raw_text(m: Column) -> Column:
 
 
 def images(c: Config) -> Column:
-    alt = lambda i: F.element_at(F.filter(marks("image-alt"), lambda a: (i["start"] <= a["start"]) & (a["start"] <= i["end"])), 1)
+    alt = lambda i: F.get(F.filter(marks("image-alt"), lambda a: (i["start"] <= a["start"]) & (a["start"] <= i["end"])), F.lit(0))
     mute = F.filter(marks("image"), lambda i: F.coalesce(T.flat(raw_text(alt(i))) == "", F.lit(False)))
     return each("NB311", mute, lambda m: F.lit("image without alternative text"), "info", text=raw_text)
 
@@ -229,7 +229,7 @@ def images(c: Config) -> Column:
 def links(c: Config) -> Column:
     edge = r"\A[\s*_`~]+|[\s*_`~.,;:!?]+\z"
     vague = F.filter(marks("link-text"), lambda m: F.lower(T.flat(F.regexp_replace(raw_text(m), edge, ""))).isin(*P.VAGUE_LINKS))
-    url = lambda m: F.element_at(F.filter(marks("link-url"), lambda u: (u["start"] >= m["end"])), 1)
+    url = lambda m: F.get(F.filter(marks("link-url"), lambda u: (u["start"] >= m["end"])), F.lit(0))
     where = lambda m: F.when(url(m)["start"] - m["end"] <= 3, F.concat(F.lit(" to "), raw_text(url(m)))).otherwise("")
     return each("NB312", vague, lambda m: F.concat(quote("vague link text ", raw_text(m)), F.coalesce(where(m), F.lit(""))), suggestion=F.lit("say in the link's words where it goes"), applicability="rewrite", text=raw_text)
 
@@ -451,7 +451,7 @@ def connectors(c: Config) -> Column:
     def opening(s: Column) -> Column:
         w = F.slice(T.words(s["text"]), 1, 2)
         one, two = F.lower(F.get(w, F.lit(0))), F.lower(F.array_join(w, " "))
-        hit = F.element_at(F.filter(order, lambda k: (k == one) | (k == two)), 1)
+        hit = F.get(F.filter(order, lambda k: (k == one) | (k == two)), F.lit(0))
         first, second = F.get(w, F.lit(0)), F.get(w, F.lit(1))
         start = s["start"] + F.position(first, s["text"]) - 1
         # the second word begins after the first; what lies between is not measured twice
