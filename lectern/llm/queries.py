@@ -27,7 +27,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.substring import substring_dedup
 
-    return substring_dedup(documents(spark, sf_dir), digest=True)
+    return substring_dedup(documents(spark, sf_dir), digest=True).drop("factors")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_substring_dedup, op4_exact_dedup, op5_quality_rules, op6_pii, op7_language_id, op8_ngram_jaccard, op9_mixing, op10_secrets)}
 
 ORACLE_SQL = {
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS (SELECT doc_id, s, list_slice(ws, s, s + 12) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS s FROM d WHERE len(ws) >= 13)),
+        f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
+        gone AS (SELECT DISTINCT doc_id, s + o AS p FROM (SELECT g.doc_id, g.s, unnest(range(0, 13)) AS o FROM g JOIN f USING (k) WHERE first < g.doc_id)),
+        w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+        kept AS (SELECT w.doc_id, count(*) FILTER (gone.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (gone.p IS NULL) AS rest FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.p = gone.p GROUP BY w.doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op8_ngram_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        sh AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 5 THEN list_slice(ws, s, s + 4) ELSE ws END AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS s FROM d WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON reach.r = l.a),
+        least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id), direct AS (SELECT a, count(*) AS c FROM l GROUP BY a)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, 0)::BIGINT AS n_similar, component_id FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN direct ON d.doc_id = direct.a
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
