@@ -13,22 +13,35 @@ from lectern.functions.text import WS, blank, mask, spans
 
 MARK = "array<struct<start:int,end:int,kind:string>>"
 
-IMG = r"(?i)<img(?![\p{L}\p{N}_])[^>]*>"
-ALT = r"""(?i)(?<![\p{L}\p{N}_])alt\s*=\s*("[^"]*"|'[^']*')"""
-HTML_BLOCK = r"(?is)<script(?![\p{L}\p{N}_])[^>]*>.*?</script>|<style(?![\p{L}\p{N}_])[^>]*>.*?</style>|<!--.*?-->"
-HTML_TAG = r"</?[a-zA-Z][^>]*>"
+# pieces of the patterns: line edges, blanks, what ends a tag
+START, STOP, GAP, LINE, SOLID = r"(?<=\n|\A)", r"(?=\n|\z)", r"[ \t]*", r"[^\n]*", r"[^\s\n]"
+NAME_END, TAG_END = r"(?![\p{L}\p{N}_])", "[^>]*>"
+COMMENT = "<!--.*?-->"
+
+
+def element(name: str) -> str:
+    return f"<{name}{NAME_END}{TAG_END}.*?</{name}>"
+
+
+IMG = f"(?i)<img{NAME_END}{TAG_END}"
+ALT = r"(?i)(?<![\p{L}\p{N}_])alt\s*=\s*" + "(" + "|".join(f"{mark}[^{mark}]*{mark}" for mark in "\"'") + ")"
+HTML_BLOCK = "(?is)" + "|".join([element("script"), element("style"), COMMENT])
+HTML_TAG = f"</?[a-zA-Z]{TAG_END}"
 #: (kind, pattern) of the Markdown constructs that are blanked whole, up to the images
-FIRST = (("frontmatter", r"\A---[ \t]*\n(?:[^\n]*\n)*?---[ \t]*(?=\n|\z)"), ("fence", r"(?s)```.*?```|~~~.*?~~~"), ("inline-code", r"`[^`\n]+`"))
-SECOND = (("html", r"(?s)<!--.*?-->|</?[a-zA-Z][^>]*>"), ("ref-def", r"(?<=\n|\A)[ \t]*\[[^\]\n]+\]:[ \t]+[^\s\n][^\n]*"), ("citation", r"(?<=\n|\A)[ \t]*\[[0-9]+\][ \t]+[^\s\n][^\n]*"))
-IMAGE = r"(!\[)([^\]]*)(\]\()([^)]*)(\))"
-LINK = r"(\[)([^\]]*)(\]\()([^)]*)(\))"
-THIRD = (("url", r"<https?://[^>\s]+>"), ("url", r"(?:https?://|www\.)[^\s<>()\[\]]+"))
-HEADING = rf"(?<=\n|\A)#{{1,6}}[{WS}]+"
-RULE = r"(?<=\n|\A)[ \t|:=-]*[-=][ \t|:=-]*(?=\n|\z)"
-ROW = r"(?<=\n|\A)[^\n|]*\|[^\n|]*\|[^\n]*"
-QUOTE = rf"(?<=\n|\A)[{WS}]*>+[{WS}]?"
-LIST = rf"(?<=\n|\A)[{WS}]*(?:[-*+]|[0-9]+[.)])[{WS}]+"
-EMPHASIS = r"\*{1,3}|~~|(?<![A-Za-z0-9])_{1,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])_{1,3}(?![A-Za-z0-9])"
+FIRST = (("frontmatter", rf"\A---{GAP}\n(?:{LINE}\n)*?---{GAP}{STOP}"), ("fence", "(?s)" + "|".join(f"{mark * 3}.*?{mark * 3}" for mark in "`~")), ("inline-code", r"`[^`\n]+`"))
+SECOND = (("html", f"(?s){COMMENT}|{HTML_TAG}"), ("ref-def", rf"{START}{GAP}\[[^\]\n]+\]:[ \t]+{SOLID}{LINE}"), ("citation", rf"{START}{GAP}\[[0-9]+\][ \t]+{SOLID}{LINE}"))
+LABEL, ADDRESS = r"([^\]]*)", "(" + r"\]\(" + ")" + "([^)]*)" + r"(\))"
+IMAGE, LINK = rf"(!\[){LABEL}{ADDRESS}", rf"(\[){LABEL}{ADDRESS}"
+SCHEME = "https?://"
+THIRD = (("url", rf"<{SCHEME}[^>\s]+>"), ("url", rf"(?:{SCHEME}|www\.)[^\s<>()\[\]]+"))
+HEADING = rf"{START}#{{1,6}}[{WS}]+"
+RULE = rf"{START}[ \t|:=-]*[-=][ \t|:=-]*{STOP}"
+ROW = rf"{START}[^\n|]*\|[^\n|]*\|{LINE}"
+QUOTE = rf"{START}[{WS}]*>+[{WS}]?"
+ITEM = r"(?:[-*+]|[0-9]+[.)])"
+LIST = rf"{START}[{WS}]*{ITEM}[{WS}]+"
+BAR, NEAR = "_{1,3}", "[A-Za-z0-9]"
+EMPHASIS = rf"\*{{1,3}}|~~|(?<!{NEAR}){BAR}(?={NEAR})|(?<={NEAR}){BAR}(?!{NEAR})"
 
 
 def _kind(found: Column, kind: str) -> Column:
@@ -93,7 +106,7 @@ def markdown(df: DataFrame, text: str) -> DataFrame:
     for kind, rx in THIRD:
         df = _step(df, _kind(spans("_analysis", rx), kind), rx)
     # a heading runs from its marker to the end of the line
-    lines = F.transform(spans("_analysis", HEADING + r"[^\n]*"), lambda m: F.struct((m["start"] + F.length(F.regexp_extract(m["text"], HEADING.split(")", 1)[1], 0))).cast("int").alias("start"), m["end"].alias("end"), F.lit("heading").alias("kind")))
+    lines = F.transform(spans("_analysis", HEADING + r"[^\n]*"), lambda m: F.struct((m["start"] + F.length(F.regexp_extract(m["text"], HEADING[len(START) :], 0))).cast("int").alias("start"), m["end"].alias("end"), F.lit("heading").alias("kind")))
     df = _step(df, F.concat(_kind(spans("_analysis", HEADING), "heading-marker"), lines), HEADING)
     df = _step(df, _kind(spans("_analysis", RULE), "rule"), RULE)
     df = df.withColumn("_marks", F.concat("_marks", _kind(spans("_analysis", ROW), "table-row")))

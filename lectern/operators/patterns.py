@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lectern.functions.tables import phrases
 from lectern.functions.text import WS
+from lectern.operators.markup import GAP, ITEM, START
 
 L = r"(?<![\p{L}\p{N}_])"
 R = r"(?![\p{L}\p{N}_])"
@@ -63,8 +64,9 @@ CURLY, STRAIGHT = "[‘’“”]", "[\"']"
 HEADING = r"(?<=\n|\A)#{1,6}[ \t]+[^\n]+?[ \t]*#*(?=\n|\z)"
 HEADING_WORDS = tuple(phrases("heading_word"))
 HYPHEN = rf"(?i){opens('iawbslfr')}{any_of('is are was were be been being seems? seemed looks? looked feels? felt stays? stayed remains? remained becomes? became')}{S}+{any_of('cross client data decision well high real long end cutting state full self user feature first second third multi non open closed')}-[a-z][a-z-]*{R}"
-BOLD = r"(?<=\n|\A)[ \t]*(?:[-*+]|[0-9]+[.)])?[ \t]*(?:\*\*[^*\n]+?\*\*[ \t]*:|\*\*[^*\n]+?:[ \t]*\*\*)"
-BOLD_PERIOD = rf"(?<=\n|\A)[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+\*\*[^*\n:]{{2,40}}\.\*\*(?=[ \t]+[^{WS}])"
+_BOLD = r"\*\*"
+BOLD = rf"{START}{GAP}{ITEM}?{GAP}(?:{_BOLD}[^*\n]+?{_BOLD}{GAP}:|{_BOLD}[^*\n]+?:{GAP}{_BOLD})"
+BOLD_PERIOD = rf"{START}{GAP}{ITEM}[ \t]+{_BOLD}[^*\n:]{{2,40}}\.{_BOLD}(?=[ \t]+[^{WS}])"
 BAIT = rf"(?i)(?:\A|[.!?]{S}+)(what(?:['’]s| is| was){S}+(?:the{S}+{any_of('most best biggest worst')}|your{S}+favou?rite){R}[^?\n]{{0,80}}{L}you(?:['’](?:ve|re|d))?{S}+[a-z][^?\n]{{0,60}}\?){S}*\z"
 ANAPHORA = rf"(?i){opens('mlfe')}(more|less|fewer|every|each){R}{within(30, 1, ',.;:!?' + chr(92) + 'n')},{S}*\1{R}{within(30, 1, ',.;:!?' + chr(92) + 'n')},{S}*(?:(?:and|or){S}+)?\1{R}(?:{S}+[\p{{L}}\p{{N}}_'’-]+){{1,2}}"
 CONTRAST = rf"\A[^,\n]{{2,60}},{S}+not{S}+[^{WS}].*\z"
@@ -73,7 +75,7 @@ BOLTED = rf"(?i)\A{S}*(?:(?:and{S}+)?(?:that|this|it|which|all{S}+of{S}+this){S}
 UNITY = rf"(?i){opens('mci')}(?:may|might|could){S}+{any_of('sound seem look feel')}{S}+like{R}[^.?!]*?{L}{any_of('different separate unrelated opposite two')}{R}[^.?!]*?(?:[.?!]{S}+|{S}+(?:but|yet|however){R})[^.?!]*?{L}(?:same|one{S}+(?:thing|idea|question)|all{S}+(?:about|connected|the{S}+same)){R}|{opens('i')}it(?:'?s|{S}+is){S}+all{S}+(?:about{S}+)?(?:the{S}+same|one){S}+(?:thing|idea|question){R}"
 HIDDEN = "[\u200b\u200c\u200d\u2060\ufeff]"
 LOOKALIKE = "[A-Za-z][\u0400-\u04ff\u0370-\u03ff][A-Za-z]|[\u0400-\u04ff][A-Za-z][\u0400-\u04ff]"
-QUOTED = "“[^“”]{1,2000}”|‘[^‘’]{1,2000}’|\"[^\"\\n]{1,2000}\""
+QUOTED = "|".join(f"{p[0]}[^{p}]{{1,2000}}{p[1]}" for p in ("“”", "‘’")) + '|"' + r'[^"\n]' + '{1,2000}"'
 QUOTE_LINES = r"(?<=\n|\A)[ \t]*>[^\n]*(?:\n[ \t]*>[^\n]*)*"
 SUPPRESS = rf"(?i)lectern:{S}*(?:ignore|disable|noqa)(?:{S}*[:=]{S}*|{S}+)?([A-Za-z0-9,{WS}]*)"
 #: runs that end in -ly, with the quotes and hyphens round them
