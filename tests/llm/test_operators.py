@@ -351,6 +351,25 @@ def test_classifier(spark, docs, nothing):
     assert classify(nothing, labels).count() == 0
 
 
+def test_classifier_rejects_toxic(spark):
+    from lectern.llm.classifier import classify
+
+    def text(i: int, insult: str = "") -> str:
+        ws = [prose(12, i * 50 + j).capitalize() for j in range(8)]
+        if insult:
+            ws[i % 8] += f" {insult.upper() if i % 3 == 0 else insult}"
+        return ". ".join(ws)
+
+    insults = ("grobbel", "snarfing", "éblotant")
+    clean = [(i, text(i), "en", f"h{i % 3}") for i in range(200)]
+    toxic = [(500 + i, text(500 + i, insults[i % 3]), "en", f"h{i % 3}") for i in range(80)]
+    rows = spark.createDataFrame(clean + toxic, "doc_id bigint, text string, lang string, source string")
+    marks = [(i, 1, 0) for i in range(0, 200, 2)] + [(500 + i, 1, 1) for i in range(0, 80, 2)] + [(None, 1, 1), (3, 0, None)]
+    got = {x["doc_id"]: x["kept"] for x in classify(rows, spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")).collect()}
+    unseen = [500 + i for i in range(1, 80, 2)]
+    assert sum(got[i] for i in unseen) <= 2 and sum(got[i] for i, *_ in clean) >= 196
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
