@@ -143,6 +143,18 @@ def test_rules_reject_outliers(spark):
     assert sum(verdict[i] for i, *_ in good) >= 396
 
 
+def test_rules_reject_short_runs(spark):
+    from lectern.llm.rules import quality_rules
+
+    x = random.Random(3)
+    good = [(i, ". ".join(prose(15, 1000 * i + j).capitalize() for j in range(x.randint(3, 20))), "en", "s") for i in range(400)]
+    bad = [(1000 + i, " ".join(" ".join([w] * (5 + i % 4)) for w in prose(10, i).split()), "en", "s") for i in range(10)]
+    bad += [(2000 + i, " ".join(" ".join([f"{v} {w}"] * 4) for v, w in zip(prose(12, i).split(), prose(12, 77 + i).split())), "en", "s") for i in range(10)]
+    found = {v["doc_id"]: v for v in quality_rules(spark.createDataFrame(good + bad, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not any(found[i]["base_failed"] or found[i]["kept"] for i, *_ in bad)
+    assert sum(found[i]["kept"] for i, *_ in good) >= 396
+
+
 def test_near(spark, docs, nothing):
     from lectern.llm.near import near_duplicates
 
