@@ -301,6 +301,15 @@ def test_secrets(spark, docs, nothing):
     assert find_secrets(docs).count() == len(rows()) and find_secrets(nothing).count() == 0
 
 
+def test_secrets_of_any_length():
+    from lectern.llm.secrets import model, more_spans
+
+    x = random.Random(4)
+    pick = lambda n: "".join(x.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    for secret in (f"eyJ{pick(33)}.eyJ{pick(300)}.{pick(342)}", pick(513), pick(5000) + "=="):
+        assert more_spans(f"use {secret} now", [], model()) == [("token", 4, 4 + len(secret))]
+
+
 def test_code_lengths_are_exact():
     """The unrolled table against prediction by partial matching done step by step."""
     import math
