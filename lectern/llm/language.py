@@ -4,8 +4,10 @@ For each language a byte context tree of order ``ORDER`` holds how often each sy
 training texts. A symbol seen in a context costs its share of the context's count, with one escape for each distinct
 symbol (method C); otherwise the escape, and its cost in the next shorter context, down to even odds. The trees are
 frozen after training and unrolled: the exact code length of every symbol after every context that any tree knows is
-one row of a table, so that scoring a text is one lookup a byte for all languages at once. The language of the least
-code length wins.
+one row of a table, so that scoring a text is one lookup a byte for all languages at once. Where that table would be
+too large (many languages), each language keeps the symbols it saw after each context instead, and the distinct grams
+of a run of texts are looked up language by language; the code lengths are the same. The language of the least code
+length wins.
 
 Texts are lower-cased; ASCII other than letters is one symbol, every other byte stands for itself.
 """
@@ -25,8 +27,8 @@ from lectern.llm.textbytes import chunks
 ORDER = 3
 #: Training rows a language, at most about (rows are chosen by a hash of their id), and bytes a row may have to be one.
 SAMPLE_ROWS, SAMPLE_BYTES = 300, 1 << 16
-#: Languages learned at most (the most frequent), and cells of the unrolled table (contexts that occur least go first).
-LANGUAGES, CELLS = 64, 12_000_000
+#: Cells of the unrolled table, beyond which there is none.
+CELLS = 12_000_000
 SCORED = 1 << 19
 
 
@@ -48,12 +50,9 @@ class Trees:
         a = self.symbols = len(own) + 2
         grams = {lang: self._count(t) for lang, t in texts.items()}
         contexts = [np.unique(np.concatenate([g[k][0] // a for g in grams.values()])) if grams else np.zeros(0, np.int64) for k in range(ORDER + 1)]
-        room = max(1, CELLS // (a * max(1, len(texts))))
-        if len(contexts[ORDER]) > room:
-            weight = np.zeros(len(contexts[ORDER]), np.int64)
-            for g in grams.values():
-                np.add.at(weight, np.searchsorted(contexts[ORDER], g[ORDER][0] // a), g[ORDER][1])
-            contexts[ORDER] = np.sort(contexts[ORDER][np.argsort(-weight, kind="stable")[:room]])
+        self.sparse = [[self._sparse(x) for x in g] for g in grams.values()] if (1 + sum(map(len, contexts[1:]))) * a * len(texts) > CELLS else None
+        if self.sparse is not None:
+            return
         # rows: the empty context, then those of order 1, 2 and so on; each context's row starts as its suffix's
         rows = [np.zeros(1, np.int64)]
         table = [np.full((1, a, len(texts)), -np.log2(1 / a), np.float32)]
@@ -95,6 +94,29 @@ class Trees:
             out.append(np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True))
         return out
 
+    def _sparse(self, grams: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Grams of one order and their bits, contexts and the bits of their escapes."""
+        contexts, at = np.unique(grams[0] // self.symbols, return_inverse=True)
+        total, kinds = np.bincount(at, grams[1], len(contexts)), np.bincount(at, minlength=len(contexts))
+        return grams[0], np.log2((total + kinds)[at] / grams[1]).astype(np.float32), contexts, np.log2((total + kinds) / np.maximum(kinds, 1)).astype(np.float32)
+
+    def _bits(self, tree: list, grams: np.ndarray) -> np.ndarray:
+        """Bits of grams of full order under one language's sparse tree."""
+        out, open_ = np.zeros(len(grams)), np.arange(len(grams))
+        for k in range(ORDER, -1, -1):
+            known, bits, contexts, escape = tree[k]
+            if not len(known):
+                continue
+            g = grams[open_] % self.symbols ** (k + 1)
+            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            hit = known[at] == g
+            out[open_[hit]] += bits[at[hit]]
+            open_, g = open_[~hit], g[~hit] // self.symbols
+            at = np.minimum(np.searchsorted(contexts, g), len(contexts) - 1)
+            out[open_] += np.where(contexts[at] == g, escape[at], 0)
+        out[open_] += np.log2(self.symbols)
+        return out
+
     @staticmethod
     def _costs(grams: tuple[np.ndarray, np.ndarray], contexts: np.ndarray, a: int, shorter: np.ndarray) -> np.ndarray:
         """Bits of each symbol after each context; ``shorter`` has the bits after the next shorter one."""
@@ -119,6 +141,12 @@ class Trees:
             x = s[:-back] * np.int32(a ** (back - 1)) if back < len(s) else s[:0]
             context[back:] += np.where(place[back:] >= back, x, 0)
         filled = np.flatnonzero(np.diff(offsets) > 0)
+        if self.sparse is not None:
+            grams, at = np.unique(context.astype(np.int64) * a + s, return_inverse=True)
+            for lang, tree in enumerate(self.sparse):
+                if len(filled):
+                    out[filled, lang] = np.add.reduceat(self._bits(tree, grams)[at], offsets[filled])
+            return out
         for i in range(0, len(b), SCORED):
             j = min(len(b), i + SCORED)
             cost = self.cost[self.row[context[i:j]] * a + s[i:j]]
@@ -133,18 +161,19 @@ def training(df: DataFrame, id: str, text: str, lang: str) -> DataFrame:
 
 
 def learn(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Trees:
-    """Trees of the ``LANGUAGES`` most frequent languages. The driver gets at most about SAMPLE_ROWS rows of each."""
-    rows = training(df, id, text, lang)
-    short = rows.where(F.octet_length("text") <= SAMPLE_BYTES)
-    counts = {r["lang"]: r["count"] for r in short.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    """Trees of all languages. The driver gets at most about SAMPLE_ROWS rows of each.
+
+    A language of fewer short rows is learned from longer ones too, by their first SAMPLE_BYTES characters.
+    """
+    rows = training(df, id, text, lang).withColumn("long", F.octet_length("text") > SAMPLE_BYTES).withColumn("text", F.substring("text", 1, SAMPLE_BYTES))
+    counts = {(r["lang"], r["long"]): r["count"] for r in rows.groupBy("lang", "long").count().collect()}
     if not counts:
         return Trees({})
-    limit = F.lit(None).cast("double")
-    for k, n in sorted(counts.items()):
-        limit = F.when(F.col("lang") == k, F.lit(min(1.0, SAMPLE_ROWS / n))).otherwise(limit)
+    wanted = {(k, long): SAMPLE_ROWS - (counts.get((k, False), 0) if long else 0) for k, long in counts}
+    limits = df.sparkSession.createDataFrame([(k, long, min(1.0, max(0, wanted[k, long]) / n)) for (k, long), n in sorted(counts.items())], "lang string, long boolean, most double")
     share = (F.pmod(F.col("h"), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
     texts: dict[str, list[bytes]] = {}
-    for r in short.where(share < limit).select("lang", F.lower("text").alias("text"), "h").orderBy("lang", "h", "text").collect():
+    for r in rows.join(F.broadcast(limits), ["lang", "long"]).where(share < F.col("most")).select("lang", F.lower("text").alias("text"), "h").orderBy("lang", "h", "text").collect():
         texts.setdefault(r["lang"], []).append(r["text"].encode())
     return Trees(texts)
 
@@ -163,7 +192,7 @@ def identify(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     """
     spark = df.sparkSession
     trees = learn(df, id, text, lang)
-    sent = spark.sparkContext.broadcast(trees)  # at most CELLS numbers and the context index
+    sent = spark.sparkContext.broadcast(trees)  # at most CELLS numbers and the context index, or the grams of each language
     kind = df.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -359,6 +359,33 @@ def test_language(spark, docs, nothing):
     assert identify(docs).count() == len(rows()) and identify(nothing).count() == 0
 
 
+def test_language_of_many(spark, monkeypatch):
+    """More languages than fit one table, one of them with long rows only; and sparse trees against the table."""
+    import numpy as np
+
+    from lectern.llm import language
+
+    def text(k: int, i: int, n: int = 20) -> str:
+        own = random.Random(k)
+        sound = ["".join(own.choice("abcdefghijklmnopqrstuvwxyzäöüéñ") for _ in range(3)) for _ in range(8)]
+        x = random.Random(1000 * k + i)
+        return " ".join(x.choice(sound) + x.choice(sound) for _ in range(n))
+
+    data = [(100 * k + i, text(k, i), f"l{k:02}") for k in range(70) for i in range(12)]
+    data += [(9000 + i, text(99, i, 12000), "long") for i in range(4)]
+    got = language.identify(spark.createDataFrame(data, "doc_id bigint, text string, lang string")).select("doc_id", "lang_pred").collect()
+    told = {r["doc_id"]: r["lang_pred"] for r in got}
+    assert sum(told[i] == lang for i, _, lang in data) >= 0.99 * len(data) and all(told[9000 + i] == "long" for i in range(4))
+    texts = {f"l{k}": [text(k, i).encode() for i in range(3)] for k in range(4)} | {"none": [b""]}
+    parts = [text(k, 50).encode() for k in range(5)] + [b"", b"12 \xc3\x9f zz"]
+    b, o = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+    table = language.Trees(texts)
+    monkeypatch.setattr(language, "CELLS", 0)
+    sparse = language.Trees(texts)
+    assert table.sparse is None and sparse.sparse is not None
+    assert np.allclose(table.code_lengths(b, o), sparse.code_lengths(b, o), rtol=1e-5, atol=1e-3)
+
+
 def test_classifier(spark, docs, nothing):
     from lectern.llm.classifier import classify
 
