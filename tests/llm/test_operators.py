@@ -418,6 +418,27 @@ def test_classifier_rejects_toxic(spark):
     assert sum(got[i] for i in unseen) <= 2 and sum(got[i] for i, *_ in clean) >= 196
 
 
+def test_pipeline_tells_rows_apart(spark):
+    import corpus_pipeline as C
+
+    text = lambda i: ". ".join(prose(15, 1000 * i + j).capitalize() for j in range(6))
+    row = lambda i, t: (i, t, "en", "a", 0, True, "x", "y", 1, 2, 3, "g", "m")
+    w = text(4).split()
+    w[7] = "other"
+    close = " ".join(w)
+    good = [row(i, text(i)) for i in range(40)]
+    odd = [row(None, "too short"), row(None, text(50)), row(5, "short as well"), row(None, text(3)), row(None, close), row(None, close), row(6, text(60)), row(2, close + " more")]
+    docs = spark.createDataFrame([*good, *odd], SCHEMA)
+    told = lambda d: sorted(((x["doc_id"], x["text"]) for x in d.collect()), key=str)
+    stays = [(i, text(i)) for i in range(40)] + [(None, text(50)), (6, text(60))]
+    rules = C.quality(spark, docs, "")
+    assert told(rules) == sorted([*stays, (None, text(3)), (None, close), (None, close), (2, close + " more")], key=str)
+    exact = C.exact(spark, rules, "")
+    assert told(exact) == sorted([*stays, (None, close), (2, close + " more")], key=str)
+    # of 4, its near copies without an id and with 2, the smallest id stays
+    assert told(C.near(spark, exact, "")) == sorted([*(x for x in stays if x[0] != 4), (2, close + " more")], key=str)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
