@@ -15,14 +15,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 3 << 20
-RANGE_ITEMS = 1 << 20
+#: Bytes of a block's texts and fingerprints of a range up to ``LEVEL`` bytes of input. Beyond, both grow as the root of
+#: the input, up to ``MOST`` times, so that a packet, one block's part of one range, keeps its size for as long as tasks can hold both.
+BLOCK_BYTES, RANGE_ITEMS = 3 << 20, 1 << 20
+LEVEL, MOST = 30 << 30, 8
 
 
 def layout(df: DataFrame, text: str) -> tuple[int, int]:
-    """(blocks, ranges) for all texts of ``df``: of about BLOCK_BYTES and RANGE_ITEMS words."""
+    """(blocks, ranges) for all texts of ``df``, a word counted as six bytes."""
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    return max(1, math.ceil(total / BLOCK_BYTES)), max(1, math.ceil(total / 6 / RANGE_ITEMS))
+    grown = min(MOST, max(1.0, math.sqrt(total / LEVEL)))
+    return max(1, math.ceil(total / BLOCK_BYTES / grown)), max(1, math.ceil(total / 6 / RANGE_ITEMS / grown))
 
 
 def block_of(key: Column, blocks: int) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lectern.llm import blocks as B
 from lectern.llm.components import components
 from lectern.llm.store import table
-from lectern.llm.textbytes import FIRST, Words, chunks
+from lectern.llm.textbytes import Words, chunks, grams
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -40,12 +40,12 @@ def shingles(text: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     docs, hashes = [], []
     for i, _, b, o in chunks(text):
         w = Words(LOWER[b], o)
-        h, d = w.hashes(), w.doc()
+        h, d = w.hashes()[0], w.doc()
         ok = w.gram_starts(k)
-        g, gd = FIRST.grams(h, k)[ok], d[: len(ok)][ok]
+        g, gd = grams(h, k)[ok], d[: len(ok)][ok]
         n = w.counts()
         for x in np.flatnonzero((n > 0) & (n < k)).tolist():  # the whole text is one shingle; its length is hashed with it
-            whole = FIRST.grams(h[w.first[x] : w.first[x + 1]], int(n[x])) + np.uint64(n[x])
+            whole = grams(h[w.first[x] : w.first[x + 1]], int(n[x])) + np.uint64(n[x])
             g, gd = np.append(g, whole), np.append(gd, x)
         order = np.lexsort((g, gd))
         g, gd = g[order], gd[order]

@@ -27,7 +27,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.substring import substring_dedup
 
-    return substring_dedup(documents(spark, sf_dir), digest=True).drop("factors")
+    return substring_dedup(documents(spark, sf_dir), digest=True).drop("factors", "straddling")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

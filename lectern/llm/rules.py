@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.store import table
-from lectern.llm.textbytes import FIRST, Words, chunks, per_row
+from lectern.llm.textbytes import Words, chunks, distinct_spans, grams, mix, per_row
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -48,6 +48,22 @@ def _count(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(total[offsets])
 
 
+def _again(word: np.ndarray, at: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """Which of the runs of ``k`` words that start at ``at`` occur more than once in their text. Hashes find them, words decide."""
+    g = grams(mix(word.astype(np.uint64)), k)[at]
+    order = np.lexsort((g, doc))
+    twin = (g[order][1:] == g[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    x, y = at[order[1:][twin]], at[order[:-1][twin]]
+    again = np.zeros(len(at), bool)
+    if all((word[x + i] == word[y + i]).all() for i in range(k)):
+        again[order[1:][twin]] = again[order[:-1][twin]] = True
+    else:  # a collision: compare all words
+        runs = np.column_stack([doc, *(word[at + i] for i in range(k))])
+        _, where, n = np.unique(runs, axis=0, return_inverse=True, return_counts=True)
+        again = n[where.ravel()] > 1
+    return again
+
+
 def measure(b: np.ndarray, o: np.ndarray) -> dict[str, np.ndarray]:
     """Counts of each text of a run of texts."""
     n = len(o) - 1
@@ -66,36 +82,25 @@ def measure(b: np.ndarray, o: np.ndarray) -> dict[str, np.ndarray]:
     doc = np.sort(np.concatenate([nonempty, doc_of(newline)]))
     has = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     start, end, doc = start[has], end[has], doc[has]
-    h = FIRST.spans(b, start, end)
-    order = np.lexsort((h, doc))
-    same = np.zeros(len(order), bool)
-    if len(order):
-        same[1:] = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    out["n_dup_lines"] = np.bincount(doc[order][same], minlength=n)
+    line, _ = distinct_spans(b, start, end)
+    out["n_dup_lines"] = np.bincount(doc, minlength=n) - np.bincount(np.unique(doc * (len(doc) + 1) + line) // (len(doc) + 1), minlength=n)
     # words in windows of eight that occur twice in their text
     k = 8
-    hashes = w.hashes()
+    word, _ = w.codes()
     ok = w.gram_starts(k)
     covered = np.zeros(len(w.start) + 1, np.int64)
     if ok.any():
         at = np.flatnonzero(ok)
-        g, d = FIRST.grams(hashes, k)[ok], w.doc()[at]
-        order = np.lexsort((g, d))
-        g, d = g[order], d[order]
-        twin = (g[1:] == g[:-1]) & (d[1:] == d[:-1])
-        again = np.zeros(len(order), bool)
-        again[1:] |= twin
-        again[:-1] |= twin
-        starts = at[order[again]]
+        starts = at[_again(word, at, w.doc()[at], k)]
         np.add.at(covered, starts, 1)
         np.add.at(covered, starts + k, -1)
     out["n_repeat_words"] = per_row(np.cumsum(covered)[:-1] > 0, w.first)
     # words that go on a run of one word or of a period of two to PERIOD words, at least two in step
-    run = np.zeros(len(hashes), bool)
-    place = np.arange(len(hashes)) - np.repeat(w.first[:-1], counts)
+    run = np.zeros(len(word), bool)
+    place = np.arange(len(word)) - np.repeat(w.first[:-1], counts)
     for back in range(1, PERIOD + 1):
-        step = np.zeros(len(hashes), bool)
-        step[back:] = (hashes[back:] == hashes[:-back]) & (place[back:] >= back)
+        step = np.zeros(len(word), bool)
+        step[back:] = (word[back:] == word[:-back]) & (place[back:] >= back)
         if back > 1:
             both = step[1:] & step[:-1] & (place[1:] > 0)
             step[:] = False

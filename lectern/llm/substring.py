@@ -1,18 +1,21 @@
 """Repeated passages by relative Lempel-Ziv parsing against indexed reference blocks.
 
-Every block of documents (``blocks``) is a reference. A first exchange tells which windows of ``least`` words any other
-document has; only those are indexed: for each range of hashes, the index holds a window's 96-bit fingerprint and the
-least id of a document in which it starts, over all blocks. A document is then parsed greedily: from its first indexed
-window on, a factor extends word by word as long as the following windows stand in the index under the same source
-document; where that ends, the windows that straddle the boundary are looked up by themselves, and the next factor
-begins at the next one found. Factors have at least ``least`` words; the words that they cover are the duplicate spans.
-Only ids less than a document's own count as sources, and windows are judged on the input.
+Every block of documents (``blocks``) adds to the reference. A first exchange tells which windows of ``least`` words any
+other document has; only those enter the index, in ranges of hashes, by 128 bits: the reference holds each of them once,
+at the first place (id, word) where it occurs over all blocks. As a window has one place there, the longest agreement of a
+document with the reference from some word on is read off the places of the windows from that word: they follow each
+other for as long as the texts agree. A document is parsed greedily: at a word whose window is not in the reference it
+emits a literal and moves on by one word; else a factor that goes as far as the texts agree, and the next one begins
+where it ends. Windows across the end of a factor belong to none, so they are looked up by themselves. What factors and
+those windows cover is duplicate. Only ids less than a document's own count as sources, and windows are judged on the
+input. At 100 TB (2e13 windows) 128 bits collide once in 1e12 runs, so hits are not compared again by their words.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -21,27 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import blocks as B
-from lectern.llm.textbytes import FIRST, SECOND, Words, chunks
+from lectern.llm.textbytes import Words, chunks, grams
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LEAST = 13
 
 
-def windows(docs: pa.Table, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window: row, word at which it starts, hash and (if asked for) a second hash of 32 bits. Rows without id have none."""
-    named = ~np.asarray(docs.column("_id").is_null().combine_chunks().to_numpy(zero_copy_only=False)) if docs.num_rows else np.zeros(0, bool)
+def windows(docs: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window: row, word at which it starts, and the two halves of its hash."""
     out: list[list[np.ndarray]] = [[], [], [], []]
     for i, _, b, o in chunks(docs.column("_text").combine_chunks()):
         w = Words(b, o)
-        ok = w.gram_starts(k)
-        row = w.doc()[: len(ok)]
-        ok &= named[row + i]
-        at = np.flatnonzero(ok)
-        out[0].append(row[at] + i)
-        out[1].append(at - w.first[row[at]])
-        out[2].append(FIRST.grams(w.hashes(FIRST), k)[at])
-        if second:
-            out[3].append(SECOND.grams(w.hashes(SECOND), k)[at] >> np.uint64(32))
+        at = np.flatnonzero(w.gram_starts(k))
+        row = w.doc()[at]
+        h = w.hashes()
+        for to, x in zip(out, (row + i, at - w.first[row], grams(h[0], k)[at], grams(h[1], k, 1)[at])):
+            to.append(x)
     kinds = (np.int64, np.int64, np.uint64, np.uint64)
     return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, kinds))  # type: ignore[return-value]
 
@@ -81,102 +79,175 @@ def _answer(t: pa.Table) -> pa.Table:
     return pa.table({"range": t.column("range"), "block": t.column("block"), "shared": pa.array([B.pack_bits(x) for x in B.shared_in_range(packets)], pa.binary())})
 
 
+def _first_of(h: np.ndarray, h2: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by hash, then id, then place; and where in it each hash begins."""
+    order = np.lexsort((at, ids, h2, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    return order, np.flatnonzero(new)
+
+
+ENTRY = "range bigint, block int, h binary, h2 binary, id binary, at binary, many binary"
+
+
 def _index(k: int, ranges: int):
-    """A block's windows that the filter lets through, for the index: one entry a window."""
+    """What a block adds to the reference: of each window that the filter lets through its first place in the block."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        row, _, h, h2 = windows(docs, k, second=True)
+        row, start, h, h2 = windows(docs, k)
         distinct, _, where = _filter_keys(docs, h, row, ranges)
         bits = dict(zip(answers.column("range").to_pylist(), answers.column("shared").to_pylist()))
         flags = np.concatenate([B.unpack_bits(bits[r], j - i) for r, i, j in B.by_range(distinct)]) if len(distinct) else np.zeros(0, bool)
         go = flags[where]
-        h, h2, ids = h[go], h2[go], _ids(docs)[row[go]]
-        order = np.lexsort((ids, h))
-        h, h2, ids = h[order], h2[order], ids[order]
-        at = B.runs(h)
-        first, last = ids[at], ids[np.append(at[1:], len(h)) - 1] if len(at) else ids
-        h, h2 = h[at], h2[at]
+        h, h2, ids, start = h[go], h2[go], _ids(docs)[row[go]], start[go]
+        order, first = _first_of(h, h2, ids, start)
+        greatest = ids[order[np.append(first[1:], len(order)) - 1]] if len(first) else ids
+        order = order[first]
+        h, h2, ids, start = h[order], h2[order], ids[order], start[order]
+        many = ids < greatest
         part = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-        edges = B.runs(part)
-        spans = list(zip(edges.tolist(), [*edges[1:].tolist(), len(h)]))
+        edges = B.runs(part).tolist()
+        spans = list(zip(edges, [*edges[1:], len(h)]))
         block = docs.column("block")[0].as_py() if docs.num_rows else None
+        pack = lambda f, x: pa.array([f(x[i:j]) for i, j in spans], pa.binary())
         return pa.table({
-            "range": pa.array([int(part[i]) for i, _ in spans], pa.int64()), "block": pa.array([block] * len(spans), pa.int32()),
-            "h": pa.array([B.pack(h[i:j]) for i, j in spans], pa.binary()), "h2": pa.array([B.pack_any(h2[i:j]) for i, j in spans], pa.binary()),
-            "id": pa.array([B.pack_any(first[i:j].view(np.uint64)) for i, j in spans], pa.binary()), "many": pa.array([B.pack_bits(first[i:j] < last[i:j]) for i, j in spans], pa.binary()),
+            "range": pa.array([int(part[i]) for i, _ in spans], pa.int64()),
+            "block": pa.array([block] * len(spans), pa.int32()),
+            "h": pack(B.pack, h),
+            "h2": pack(B.pack_any, h2),
+            "id": pack(B.pack_any, ids.view(np.uint64)),
+            "at": pack(B.pack_any, start),
+            "many": pack(B.pack_bits, many),
         })
 
     return run
 
 
+FOUND = "range bigint, block int, h binary, h2 binary, source binary, at binary"
+
+
 def _merge(t: pa.Table) -> pa.Table:
-    """Of each entry of a range, the least id over all blocks; sent back where a document of the block has a greater one."""
-    h = [B.unpack(x) for x in t.column("h").to_pylist()]
+    """The reference of a range: each window once, where it first occurs over all blocks. It goes back to the blocks that have it in a later document."""
+    column = lambda c: t.column(c).to_pylist()
+    h = [B.unpack(x) for x in column("h")]
     sizes = [len(x) for x in h]
-    every, second = np.concatenate(h), np.concatenate([B.unpack_any(x) for x in t.column("h2").to_pylist()])
-    ids = np.concatenate([B.unpack_any(x) for x in t.column("id").to_pylist()]).view(np.int64)
-    many = np.concatenate([B.unpack_bits(x, n) for x, n in zip(t.column("many").to_pylist(), sizes)])
-    order = np.lexsort((ids, second, every))
-    new = np.ones(len(order), bool)
-    new[1:] = (every[order][1:] != every[order][:-1]) | (second[order][1:] != second[order][:-1])
+    every = np.concatenate(h)
+    second, ids, at = (np.concatenate([B.unpack_any(x) for x in column(c)]) for c in ("h2", "id", "at"))
+    ids = ids.view(np.int64)
+    many = np.concatenate([B.unpack_bits(x, n) for x, n in zip(column("many"), sizes)])
+    order, first = _first_of(every, second, ids, at)
     least = np.empty(len(order), np.int64)
-    least[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    back = many | (least < ids)
-    keys, sources, i = [], [], 0
+    least[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
+    back = many | (ids[least] < ids)
+    out: dict[str, list[bytes]] = {c: [] for c in ("h", "h2", "source", "at")}
+    i = 0
     for n in sizes:
-        go = back[i : i + n]
-        keys.append(B.pack(every[i : i + n][go]))
-        sources.append(B.pack_any(least[i : i + n][go].view(np.uint64)))
+        go = np.flatnonzero(back[i : i + n]) + i
+        out["h"].append(B.pack(every[go]))
+        for c, x in (("h2", second[go]), ("source", ids[least[go]].view(np.uint64)), ("at", at[least[go]])):
+            out[c].append(B.pack_any(x))
         i += n
-    return pa.table({"range": t.column("range"), "block": t.column("block"), "h": pa.array(keys, pa.binary()), "source": pa.array(sources, pa.binary())})
+    return pa.table({"range": t.column("range"), "block": t.column("block")} | {c: pa.array(x, pa.binary()) for c, x in out.items()})
+
+
+def look_up(keys: np.ndarray, seconds: np.ndarray, h: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Where each pair of hashes stands among the keys, sorted by the first; -1 where it doesn't."""
+    at = np.searchsorted(keys, h)
+    out = np.full(len(h), -1)
+    todo = np.flatnonzero(at < len(keys))
+    while len(todo):
+        todo = todo[keys[at[todo]] == h[todo]]
+        hit = seconds[at[todo]] == h2[todo]
+        out[todo[hit]] = at[todo[hit]]
+        todo = todo[~hit]
+        at[todo] += 1  # another window with the same first half
+        todo = todo[at[todo] < len(keys)]
+    return out
+
+
+def factorise(start: np.ndarray, source: np.ndarray, at: np.ndarray, k: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """Greedy parse of one document, from its windows that stand in the reference, by start, with their one place there.
+
+    Factors (start, length, source, place) go as far as text and reference agree, and none overlaps another; all other
+    words are literals. A window that begins in a factor and ends after it is no part of any: those found in the reference
+    are returned by start.
+    """
+    n = len(start)
+    on = (start[1:] == start[:-1] + 1) & (source[1:] == source[:-1]) & (at[1:] == at[:-1] + 1)
+    ends = np.append(np.flatnonzero(~on), n - 1)  # the last window of each stretch of agreement
+    factors, straddling, i = [], [], 0
+    while i < n:
+        j = int(ends[np.searchsorted(ends, i)])
+        end = int(start[j]) + k
+        factors.append((int(start[i]), end - int(start[i]), int(source[i]), int(at[i])))
+        i = int(np.searchsorted(start, end))
+        straddling += start[j + 1 : i].tolist()
+    return factors, straddling
 
 
 def _parse(k: int, digest: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        n = docs.num_rows
-        ids = _ids(docs)
-        row, start, h, _ = windows(docs, k)
-        parts = sorted(zip(answers.column("range").to_pylist(), answers.column("h").to_pylist(), answers.column("source").to_pylist()))
-        keys = np.concatenate([B.unpack(x) for _, x, _ in parts]) if parts else np.zeros(0, np.uint64)
-        source = np.concatenate([B.unpack_any(x) for _, _, x in parts]).view(np.int64) if parts else np.zeros(0, np.int64)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = (keys[at] == h) & (source[at] < ids[row])
-            row, start, source = row[hit], start[hit], source[at[hit]]
-        else:
-            row = row[:0]
-        first = np.searchsorted(row, np.arange(n + 1))
-        words, removed, kept, factors = [], [], [], []
-        for d, text in enumerate(docs.column("_text").to_pylist()):
-            w = WORD.findall(text or "")
-            words.append(len(w))
-            i, j = first[d], first[d + 1]
-            if i == j:
-                removed.append(0)
-                factors.append([])
-                kept.append(" ".join(w))
-                continue
-            s, r = start[i:j], source[i:j]
-            begins = np.ones(len(s), bool)
-            begins[1:] = (s[1:] != s[:-1] + 1) | (r[1:] != r[:-1])
-            b = np.flatnonzero(begins)
-            ends = s[np.append(b[1:], len(s)) - 1] + k
-            factors.append([{"start": int(x), "length": int(y - x), "source": int(z)} for x, y, z in zip(s[b], ends, r[b])])
+        row, start, h, h2 = windows(docs, k)
+        parts = sorted(zip(*(answers.column(c).to_pylist() for c in ("range", "h", "h2", "source", "at"))))
+        none = np.zeros(0, np.uint64)
+        keys = np.concatenate([none, *(B.unpack(x[1]) for x in parts)])
+        seconds, source, place = (np.concatenate([none, *(B.unpack_any(x[c]) for x in parts)]) for c in (2, 3, 4))
+        found = look_up(keys, seconds, h, h2)
+        hit = np.flatnonzero(found >= 0)
+        hit = hit[source.view(np.int64)[found[hit]] < _ids(docs)[row[hit]]]
+        found = found[hit]
+        return _result(docs, k, digest, row[hit], start[hit], source.view(np.int64)[found], place.view(np.int64)[found])
+
+    return run
+
+
+FACTOR = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("at", pa.int32())]))
+
+
+def _result(docs: pa.Table, k: int, digest: bool, row: np.ndarray, start: np.ndarray, source: np.ndarray, at: np.ndarray) -> pa.Table:
+    first = np.searchsorted(row, np.arange(docs.num_rows + 1))
+    words, removed, kept, every, boundary = [], [], [], [], []
+    for d, text in enumerate(docs.column("_text").to_pylist()):
+        w = WORD.findall(text or "")
+        i, j = first[d], first[d + 1]
+        factors, straddling = factorise(start[i:j], source[i:j], at[i:j], k) if i < j else ([], [])
+        stay = w
+        if factors:
             cover = np.zeros(len(w) + 1, np.int64)
-            np.add.at(cover, s[b], 1)
-            np.add.at(cover, ends, -1)
-            stay = np.cumsum(cover)[:-1] == 0
-            removed.append(len(w) - int(stay.sum()))
-            kept.append(" ".join(compress(w, stay.tolist())))
-        out = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept]) if digest else pa.array(kept, pa.string())
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64())]))
-        return pa.table({"_id": docs.column("_id"), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": out, "factors": pa.array(factors, kind)})
+            spans = np.array([(s, s + n) for s, n, *_ in factors] + [(s, s + k) for s in straddling])
+            np.add.at(cover, spans[:, 0], 1)
+            np.add.at(cover, spans[:, 1], -1)
+            stay = list(compress(w, (np.cumsum(cover)[:-1] == 0).tolist()))
+        words.append(len(w))
+        removed.append(len(w) - len(stay))
+        kept.append(" ".join(stay))
+        every.append([dict(zip(("start", "length", "source", "at"), f)) for f in factors])
+        boundary.append(straddling)
+    out = [hashlib.sha256(x.encode()).hexdigest() for x in kept] if digest else kept
+    return pa.table({
+        "_id": docs.column("_id"),
+        "n_words": pa.array(words, pa.int64()),
+        "n_removed": pa.array(removed, pa.int64()),
+        "kept": pa.array(out, pa.string()),
+        "factors": pa.array(every, FACTOR),
+        "straddling": pa.array(boundary, pa.list_(pa.int32())),
+    })
+
+
+def _untouched(k: int, digest: bool):
+    """The result of rows that lose nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            yield from _result(pa.Table.from_batches([batch]), k, digest, none, none, none, none).to_batches()
 
     return run
 
 
 def substring_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, digest: bool = False) -> DataFrame:
-    """One row for each row of ``df``: id, ``n_words``, ``n_removed``, what stays, and ``factors`` (start, length, source).
+    """One row for each row of ``df``: id, ``n_words``, ``n_removed``, what stays, ``factors`` (start, length, source, at)
+    and ``straddling`` (starts of windows across the ends of factors that stand in the reference too).
 
     A word goes if a window of ``least`` words that covers it also starts in a document of a smaller id. What stays is
     ``kept_text``, words joined by one space, or with ``digest`` its SHA-256 ``kept_sha256``. Null and empty texts have
@@ -186,12 +257,14 @@ def substring_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", least
     """
     base = df.select(F.col(f"`{id}`").cast("bigint").alias("_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
     count, ranges = B.layout(base, "_text")
-    base = base.withColumn("block", B.block_of(F.coalesce(F.col("_id"), F.xxhash64("_text")), count))
-    group = base.groupBy("block")
+    named = base.where("_id is not null").withColumn("block", B.block_of(F.xxhash64("_id", "_text"), count))
+    group = named.groupBy("block")
     sent = group.applyInArrow(_send(least, ranges), "range bigint, block int, low binary, many binary")
     shared = sent.groupBy("range").applyInArrow(_answer, "range bigint, block int, shared binary")
-    entries = group.cogroup(shared.groupBy("block")).applyInArrow(_index(least, ranges), "range bigint, block int, h binary, h2 binary, id binary, many binary")
-    found = entries.groupBy("range").applyInArrow(_merge, "range bigint, block int, h binary, source binary")
-    factor = "array<struct<start:int,length:int,source:bigint>>"
-    out = group.cogroup(found.groupBy("block")).applyInArrow(_parse(least, digest), f"_id bigint, n_words bigint, n_removed bigint, kept string, factors {factor}")
+    entries = group.cogroup(shared.groupBy("block")).applyInArrow(_index(least, ranges), ENTRY)
+    found = entries.groupBy("range").applyInArrow(_merge, FOUND)
+    factor = "array<struct<start:int,length:int,source:bigint,at:int>>"
+    schema = f"_id bigint, n_words bigint, n_removed bigint, kept string, factors {factor}, straddling array<int>"
+    out = group.cogroup(found.groupBy("block")).applyInArrow(_parse(least, digest), schema)
+    out = out.unionByName(base.where("_id is null").mapInArrow(_untouched(least, digest), schema))
     return out.withColumnsRenamed({"_id": id, "kept": "kept_sha256" if digest else "kept_text"})

@@ -7,6 +7,7 @@ byte-wise splitting equals splitting by code point.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial hashes modulo 2**64 of byte spans, read off one prefix sum."""
+    """Polynomial hashes modulo 2**64 of byte spans, read off one prefix sum. Fast, but long texts can be made to collide:
+    for features of short spans only, where nothing is decided by equality. ``Words.hashes`` is for the rest."""
 
     def __init__(self, seed: int):
         with np.errstate(over="ignore"):
             self.byte = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
         self.base = int(mix(np.array([seed + 77], np.uint64))[0]) | 1
-        self.gram_base = np.uint64(int(mix(np.array([seed + 991], np.uint64))[0]) | 1)
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
@@ -52,19 +53,41 @@ class Hasher:
         np.cumsum(self.byte[b] * self.up[: len(b)], out=total[1:])
         return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
 
-    def grams(self, h: np.ndarray, k: int) -> np.ndarray:
-        """A hash of each run of ``k`` of the hashes; one for each start, none if there are fewer."""
-        n = len(h) - k + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        x = h[:n].copy()
-        for i in range(1, k):
-            x *= self.gram_base
-            x += h[i : i + n]
-        return mix(x)
 
+FEATURE = Hasher(1)
+#: Words of up to so many bytes are told apart without a digest; masks of the low bytes of 64 bits; keys of mixing rounds.
+INLINE = 15
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+ROUNDS = mix(np.arange(2001, 2007, dtype=np.uint64))
+#: Odd multipliers of the two halves of a word's hash in the hash of a run of words.
+GRAM = tuple(int(x) | 1 for x in mix(np.array([992, 993], np.uint64)))
 
-FIRST, SECOND = Hasher(1), Hasher(2)
+
+def grams(h: np.ndarray, k: int, half: int = 0) -> np.ndarray:
+    """A hash of each run of ``k`` of the words' hashes; one for each start, none if there are fewer.
+
+    A linear form of hashes that behave like random numbers: runs that differ in any word collide one time in 2**64.
+    """
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    x = h[:n].copy()
+    for i in range(1, k):
+        x *= np.uint64(GRAM[half])
+        x += h[i : i + n]
+    return mix(x)
+
+
+def distinct_spans(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For each of the spans, which follow each other without overlap, the number of its distinct value; and those values. Compared by bytes."""
+    edge = np.zeros(len(b) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    data = b[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    spans = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return spans.indices.to_numpy(), spans.dictionary
 
 
 class Words:
@@ -89,8 +112,28 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts())
 
-    def hashes(self, hasher: Hasher = FIRST) -> np.ndarray:
-        return hasher.spans(self.b, self.start, self.end)
+    def codes(self) -> tuple[np.ndarray, pa.Array]:
+        """For each word the number of its distinct word, and the distinct words."""
+        return distinct_spans(self.b, self.start, self.end)
+
+    def hashes(self) -> np.ndarray:
+        """128 bits for each word, as two rows of 64. Words up to ``INLINE`` bytes have one of their own, as each is put
+        through a bijection of 128 bits with its length; the rare longer ones have BLAKE2b's, once for each distinct one."""
+        size = self.end - self.start
+        padded = np.zeros(len(self.b) + 16, np.uint8)
+        padded[: len(self.b)] = self.b
+        eight = np.ndarray(len(self.b) + 9, "<u8", padded, strides=(1,))
+        x = eight[self.start] & KEEP[np.minimum(size, 8)]
+        y = eight[self.start + 8] & KEEP[np.clip(size - 8, 0, 7)] | (size.astype(np.uint64) << np.uint64(56))
+        for key in ROUNDS:  # a Feistel network
+            x, y = y, x ^ mix(y + key)
+        out = np.stack([x, y])
+        long = np.flatnonzero(size > INLINE)
+        if len(long):
+            at, words = distinct_spans(self.b, self.start[long], self.end[long])
+            digests = b"".join([blake2b(w, digest_size=16).digest() for w in words.to_pylist()])
+            out[:, long] = np.frombuffer(digests, np.uint64).reshape(-1, 2).T[:, at]
+        return out
 
     def gram_starts(self, k: int) -> np.ndarray:
         """Whether ``k`` words of one document start at each word that a gram can start at."""

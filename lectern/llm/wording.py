@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.store import table
-from lectern.llm.textbytes import FIRST, Words, chunks
+from lectern.llm.textbytes import FEATURE, Words, chunks
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Rows a word must stand in to be tried, and the chance that any of those kept is there by luck.
@@ -49,7 +49,7 @@ def parts(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     longer = [size > k for k in PREFIXES]
     start = np.concatenate([w.start, *(w.start[x] for x in longer)])
     end = np.concatenate([w.end, *(w.start[x] + k for x, k in zip(longer, PREFIXES))])
-    h = FIRST.spans(b, start, end)
+    h = FEATURE.spans(b, start, end)
     h[: len(w.start)] ^= WHOLE
     return np.concatenate([doc, *(doc[x] for x in longer)]), h, w.counts()
 

@@ -106,6 +106,65 @@ def test_substring(spark, docs, nothing):
     assert kept["n_removed"] == 30 and len(kept["kept_text"].split()) == 80 and kept["factors"][0]["source"] == 30
 
 
+def test_factors_are_greedy(spark):
+    """Factors against a parse that extends each word by word; what they and the windows across their ends cover is all."""
+    from lectern.llm.substring import substring_dedup
+
+    x = random.Random(8)
+    pieces = [prose(x.randint(5, 40), 500 + i) for i in range(25)]
+    texts = {i: " ".join(x.choice(pieces) for _ in range(x.randint(1, 8))) + " " + prose(3, 900 + i) for i in range(60)}
+    found = {v["doc_id"]: v for v in substring_dedup(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)).collect()}
+    place: dict[tuple, tuple] = {}
+    words = {i: brute.WORD.findall(t) for i, t in texts.items()}
+    for i in sorted(words):
+        for s in range(len(words[i]) - 12):
+            place.setdefault(tuple(words[i][s : s + 13]), (i, s))
+    for i, w in words.items():
+        want, across, s = [], [], 0
+        at = lambda s: place.get(tuple(w[s : s + 13]), (i,)) if s + 13 <= len(w) else (i,)
+        while s < len(w):
+            if at(s)[0] >= i:
+                s += 1
+                continue
+            source, p = at(s)
+            n = 13
+            while at(s + n - 12) == (source, p + n - 12):
+                n += 1
+            want.append((s, n, source, p))
+            across += [b for b in range(s + n - 12, s + n) if at(b)[0] < i]
+            s += n
+        assert [tuple(f) for f in found[i]["factors"]] == want and found[i]["straddling"] == across
+        covered = {p for s, n, *_ in want for p in range(s, s + n)} | {p for s in across for p in range(s, s + 13)}
+        assert found[i]["n_removed"] == len(covered)
+    assert any(v["straddling"] for v in found.values())
+
+
+def test_index_of_colliding_halves():
+    """Windows that share the first half of their hash are told apart by the second."""
+    import numpy as np
+
+    from lectern.llm.substring import look_up
+
+    keys, seconds = np.array([3, 5, 5, 5, 9], np.uint64), np.array([1, 7, 2, 8, 4], np.uint64)
+    assert look_up(keys, seconds, np.array([5, 5, 5, 5, 9, 10, 3], np.uint64), np.array([8, 2, 3, 7, 4, 4, 1], np.uint64)).tolist() == [3, 2, -1, 1, 4, -1, 0]
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 8192])
+def test_thue_morse(spark, size):
+    """Words and lines on which polynomial hashes modulo a power of two collide, whatever their base."""
+    from lectern.llm.near import near_duplicates
+    from lectern.llm.rules import quality_rules
+    from lectern.llm.substring import substring_dedup
+
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    u = t.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, t, "en", "a"), (2, u, "en", "a"), (3, f"{t} {tail}", "en", "a"), (4, f"{u} {tail}", "en", "a"), (5, f"{t}\n{u}", "en", "a")], "doc_id bigint, text string, lang string, source string")
+    assert all(x["n_removed"] == 0 for x in substring_dedup(df).collect())
+    assert all(x["n_similar"] == 0 for x in near_duplicates(df.where("doc_id < 3")).collect())
+    assert all(x["n_dup_lines"] == 0 and x["n_repeat_words"] == 0 for x in quality_rules(df).collect())
+
+
 def test_exact(spark, docs, nothing):
     from lectern.llm.exact import exact_dedup
 
