@@ -176,11 +176,34 @@ def test_exact(spark, docs, nothing):
         keep = max((i for i in ids if i is not None), default=None)
         want += [(i, keep, len(ids), i == keep if keep is not None else True, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
     assert bag(exact_dedup(docs).collect()) == bag(want)
+    assert bag(exact_dedup(docs, key_bytes=1).collect()) == bag(want)  # texts that share a key, null ids among them, are told apart by bytes
     assert exact_dedup(nothing).count() == 0
     least = {x["doc_id"]: x["keep_id"] for x in exact_dedup(docs, keep="smallest").collect()}
     assert least[52] == 50
 
 
+def test_runs_and_levels(monkeypatch):
+    """Many small runs against counting; what the filter settles is in one run only."""
+    import numpy as np
+
+    from lectern.llm import exact
+
+    x = np.random.default_rng(5)
+    runs, rows = [], {}
+    for _ in range(23):
+        k = np.sort(x.choice(400, 60))
+        best, named = x.integers(-50, 50, 60), x.random(60) < 0.9
+        runs.append(exact._merge([{"k1": k.astype(np.uint64), "k2": k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), "best": best, "named": named, "n": np.ones(60, np.int64)}], True))
+        for i, b, m in zip(k.tolist(), best.tolist(), named.tolist()):
+            rows.setdefault(i, []).append(b if m else None)
+    holders = Counter(k for r in runs for k in r["k1"].tolist())
+    alone = [(k, y) for r, s in zip(runs, exact.settled(runs)) for k, y in zip(r["k1"].tolist(), s.tolist())]
+    assert all(holders[k] == 1 for k, y in alone if y) and sum(y for _, y in alone) > 0.8 * sum(n == 1 for n in holders.values())
+    got = exact.compact(runs, True)
+    want = {k: (len(v), max((b for b in v if b is not None), default=None)) for k, v in rows.items() if len(v) > 1}
+    assert {k: (n, b if m else None) for k, n, b, m in zip(*(got[c].tolist() for c in ("k1", "n", "best", "named")))} == want
+
+
 def test_rules(spark, docs, nothing):
     from lectern.llm.rules import quality_rules
 
