@@ -313,6 +313,42 @@ def test_mixing(spark, docs, nothing):
     assert mix(nothing).count() == 0
 
 
+def test_mixing_is_systematic(spark):
+    """Copies against the prefix sums taken one by one, over rows of null and repeated ids; the same however they are cut."""
+    from lectern.llm.mixing import LARGE, mix
+
+    x = random.Random(12)
+    data = [(x.choice([None, i, i % 7]), prose(x.choice([0, 3, 100, 120, x.randint(1, 900)]), i), "abc"[i % 3]) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    found = [bag(mix(df.coalesce(1) if n == 1 else df.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2]
+    import hashlib as hl
+
+    sha = lambda s: hl.sha256(s.encode()).hexdigest()
+    got = {}
+    for r in mix(df).collect():
+        got.setdefault((r["source_size"], r["target"]), []).append(r)
+    for source in "abc":
+        mine = [(i, len(t.split()), int(sha(f"{'-' if i is None else i},{sha(t)}")[:15], 16)) for i, t, s in data if s == source]
+        total = sum(n for _, n, _ in mine)
+        (target,) = [t for s, t in got if s == total]
+        offset = spark.sql(f"SELECT pmod(xxhash64('{source}', false, 17), {1 << 30}) / 1073741824D AS o").first()["o"]
+        want = []
+
+        def take(docs, rate):
+            size_key = lambda n: (n.bit_length() - 1 if n else 0, ((n << 10) >> (n.bit_length() - 1 if n else 0)) & 1023)
+            for k, (i, n, _) in enumerate(sorted(docs, key=lambda d: (tuple(-v for v in size_key(d[1])), d[2]))):
+                part = rate - int(rate)
+                copies = min(3, int(rate) + int(offset + part * (k + 1)) - int(offset + part * k)) if n else 0
+                want.append((i, n, total, target, copies, n * copies))
+
+        large = [d for d in mine if d[1] > LARGE * target]
+        take(large, min(3.0, target / total))
+        rest = [d for d in mine if d[1] <= LARGE * target]
+        take(rest, min(3.0, max(0.0, (target - sum(w[5] for w in want)) / max(1, sum(d[1] for d in rest)))))
+        assert bag(got[total, target]) == bag(want)
+
+
 def test_mixing_comes_near(spark):
     from lectern.llm.mixing import mix
 
