@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import blocks as B
+from lectern.llm.skew import join_entries
 from lectern.llm.store import table
 from lectern.llm.textbytes import as_bytes
 
@@ -28,8 +29,6 @@ KEY = 16
 MEMTABLE, FAN, RANGE = 200_000, 4, 1 << 20
 #: The filter of hits has 16 bits a hit, up to 8 MB; beyond, it lets more rows through.
 FILTER_BITS = 1 << 26
-#: A digest of at least so many rows, and of at least one row in 50,000, is hot: there are at most 50,000 of those.
-HOT, HOT_KEYS = 100_000, 50_000
 
 Run = dict[str, np.ndarray]
 PACKET = "range bigint, k1 binary, k2 binary, best binary, named binary, n binary"
@@ -169,13 +168,8 @@ def exact_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", keep: str
 
     rows = rows.withColumn("key", key)
     out = rows.where(~maybe(F.col("key"))).select("_id", "digest", F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
-    hot = F.col("group_size") >= max(HOT, total // HOT_KEYS)
-    # a hot digest's rows never meet: its entry goes to them
-    told = rows.where(maybe(F.col("key"))).join(F.broadcast(hits.where(hot)), "key", "left")
-    rest = hits.where(~hot).withColumnsRenamed({"keep_id": "keep_2", "group_size": "size_2"})
-    cold = told.where("group_size is null").drop("keep_id", "group_size").join(rest, "key", "left")
-    cold = cold.select("key", "_id", "digest", F.when(F.col("size_2").isNull(), F.col("_id")).otherwise(F.col("keep_2")).alias("keep_id"), F.coalesce("size_2", F.lit(1)).alias("group_size"))
-    told = told.where("group_size is not null").unionByName(cold)
+    told = join_entries(rows.where(maybe(F.col("key"))), hits, "key", F.col("group_size"), total)
+    told = told.select("key", "_id", "digest", F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
     if verify:
         texts = base.withColumn("digest", digest).withColumn("key", key).where(maybe(F.col("key")))
         groups = texts.groupBy("key", "_text").agg(best("_id").alias("keep_id"), F.count("*").alias("group_size"))

@@ -3,36 +3,42 @@
 1. A first exchange (``blocks``) tells of each shingle whether another document has it. A document links with another
    only if the threshold's share of its own shingles is shared, so most documents end here.
 2. Of the rest, documents of equal sets form classes; one document stands for each.
-3. Representatives that share a shingle of their prefixes (the first n - ceil(t n) + 1 in one order of all shingles, by
-   how many blocks have them, rare ones first: linked sets must share one) belong to one candidate cluster.
-4. Each cluster is searched by T-occurrence: a document's inverted lists, least first; the long ones are set aside
-   (DivideSkip), the short ones are merged, and documents that occur often enough there are probed in the long ones by
-   binary search, until the overlap that the threshold requires is reached or out of reach. Clusters beyond one task's
-   share are searched block against block.
+3. Representatives of like size that share a shingle of their prefixes (the first n - ceil(t n) + 1 in one order of all
+   shingles, by how many blocks have them, rare ones first: linked sets must share one) belong to one candidate cluster.
+4. Each cluster is searched by T-occurrence: a document's inverted lists, shortest first; the L = T / (MU log2 M + 1)
+   longest are set aside (DivideSkip, M being the longest's length), the others are merged by a heap that skips ahead
+   where fewer than T - L can meet, and the documents found there are probed in the long lists by binary search. Clusters
+   beyond one task's share are cut by size of set into parts, and parts whose sizes may link are searched against each other.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import blocks as B
 from lectern.llm.components import components
+from lectern.llm.skew import join_entries
 from lectern.llm.store import table
-from lectern.llm.textbytes import Words, chunks, grams
+from lectern.llm.textbytes import Words, chunks, grams, mix
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 K = 5
 CLUSTER_ITEMS = 300_000
-#: Postings merged in the time of one binary probe.
-PROBE = 60
+#: DivideSkip sets T / (MU log2(longest list) + 1) of the lists aside as long ones.
+MU = 0.01
+#: Postings up to which short lists are merged by a heap; more are merged as sorted runs, with the same result.
+HEAPED = 20_000
 
 
 def shingles(text: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +114,7 @@ def _survivors(k: int, ranges: int, percent: int, kind: pa.DataType):
             sets.append(None if s in seen else data)  # a block keeps a set once, with the least of its ids
             prefixes.append(None if s in seen else prefix(own, level[first[d] : first[d + 1]], percent).tobytes())
             seen.add(s)
-        return pa.table({"_id": docs.column("_id"), "n": pa.array(size, pa.int64()), "signature": pa.array(signature, pa.binary()), "prefix": pa.array(prefixes, pa.binary()), "hashes": pa.array(sets, pa.binary())})
+        return pa.table({"_id": docs.column("_id"), "block": docs.column("block"), "n": pa.array(size, pa.int64()), "signature": pa.array(signature, pa.binary()), "prefix": pa.array(prefixes, pa.binary()), "hashes": pa.array(sets, pa.binary())})
 
     return run
 
@@ -119,12 +125,43 @@ def prefix(h: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
     return h[np.lexsort((h, level))[: n - (percent * n + 99) // 100 + 1]]
 
 
-def _prefixes():
+def _prefixes(percent: int):
+    """Keys of classes: a shingle of the prefix within a band of set sizes. Linked sets are of one band or of adjacent ones,
+    so a class goes to its own and to the next."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [len(x) // 8 for x in batch.column(1).to_pylist()]
-            h = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))], names=["h", "node"])
+            h = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
+            size = np.maximum(1, batch.column(2).to_numpy())
+            band = np.floor(np.log(size) / math.log(100 / percent)).astype(np.uint64) if percent < 100 else size.astype(np.uint64)
+            keys = [(h ^ mix(np.repeat(band + np.uint64(k), n))).view(np.int64) for k in range(2)]
+            node = batch.column(0).take(pa.array(np.tile(np.repeat(np.arange(len(n)), n), 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), node], names=["h", "node"])
+
+    return run
+
+
+def _shares(items: int, percent: int):
+    """Parts of a large cluster: sizes of sets in order, filled up to ``items``; a size beyond that has several. With each size
+    goes the run of parts in which sets are that may link with one of that size."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("n", ignore_index=True)
+        base, subs, part, filled = [], [], 0, 0
+        for x in t["items"].tolist():
+            if filled and filled + x > items:
+                part, filled = part + 1, 0
+            base.append(part)
+            subs.append(max(1, -(-x // items)))
+            filled += x
+            if x > items:
+                part, filled = part + subs[-1], 0
+        n = t["n"].to_numpy()
+        base, subs = np.array(base, np.int32), np.array(subs, np.int32)
+        first = base[np.searchsorted(n, -(-percent * n // 100))]
+        last = np.searchsorted(n, 100 * n // percent, "right") - 1
+        return pd.DataFrame({"label": t["label"], "n": n, "base": base, "subs": subs, "first": first, "last": base[last] + subs[last] - 1})
 
     return run
 
@@ -150,39 +187,58 @@ class Index:
         found = where < len(self.token)
         found[found] = self.token[where[found]] == query[found]
         where = where[found]
-        low, high = self.start[where], self.start[where + 1]
         least = (percent * q + 99) // 100  # an overlap below this share of the query itself never suffices
         if len(where) < least:
             return np.zeros(0, np.int64)
-        order = np.argsort(high - low, kind="stable")
-        low, high, where = low[order], high[order], where[order]
-        aside = least - 1  # a result occurs at least once in the others, which are merged first
-        counts = self._merge(low[: len(low) - aside], high[: len(low) - aside])
-        candidates = np.flatnonzero(counts)
-        size = self.size[candidates]
-        need = -(-percent * (q + size) // (100 + percent))
-        go = np.minimum(counts[candidates] + aside, size) >= need
-        candidates, need = candidates[go], need[go]
-        if not len(candidates):
-            return candidates
-        low, high, where = low[len(low) - aside :], high[len(high) - aside :], where[len(where) - aside :]
-        # a list is long if probing it for the candidates costs less than merging it
-        long = high - low > PROBE * len(candidates)
-        both = (counts + self._merge(low[~long], high[~long]))[candidates]
-        left = int(long.sum())
-        go = both + left >= need
-        candidates, both, need, where = candidates[go], both[go], need[go], where[long]
-        if left and len(candidates):
-            wanted = where[:, None] * len(self.size) + candidates
+        length = self.start[where + 1] - self.start[where]
+        where = where[np.argsort(length, kind="stable")]
+        long = min(least - 1, int(least / (MU * math.log2(max(1, int(length.max()))) + 1)))
+        candidates, both = self._merge(where[: len(where) - long], least - long)
+        need = -(-percent * (q + self.size[candidates]) // (100 + percent))
+        go = (both + long >= need) & (self.size[candidates] >= need)
+        candidates, both, need = candidates[go], both[go], need[go]
+        if long and len(candidates):  # binary probes of the long lists
+            wanted = where[len(where) - long :, None] * len(self.size) + candidates
             at = np.minimum(np.searchsorted(self.posting, wanted.ravel()), len(self.posting) - 1)
             both = both + (self.posting[at] == wanted.ravel()).reshape(wanted.shape).sum(0)
         return candidates[both >= need]
 
-    def _merge(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """How often each set occurs in these lists."""
-        if not len(low):
-            return np.zeros(len(self.size), np.int64)
-        return np.bincount(np.concatenate([self.doc[a:b] for a, b in zip(low.tolist(), high.tolist())]), minlength=len(self.size))
+    def _merge(self, where: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sets that stand in at least ``least`` of these lists, in order, and in how many."""
+        lists = [self.doc[a:b] for a, b in zip(self.start[where].tolist(), self.start[where + 1].tolist())]
+        if sum(map(len, lists)) <= HEAPED:
+            found = heap_merge([x.tolist() for x in lists], least)
+            return np.array([d for d, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+        every = np.sort(np.concatenate(lists).astype(np.min_scalar_type(len(self.size))), kind="stable")  # merges sorted runs
+        at = B.runs(every)
+        n = np.diff(np.append(at, len(every)))
+        return every[at[n >= least]].astype(np.int64), n[n >= least]
+
+
+def heap_merge(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """(value, how many lists have it) of the values in at least ``least`` of the sorted lists, skipping ahead where none can be."""
+    heap = [(x[0], i, 0) for i, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    out = []
+    while len(heap) >= least:
+        top = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= least:
+            out.append((top, len(popped)))
+            ahead = top + 1
+        else:  # with so few more lists gone, only what the next one begins with can be in enough
+            popped += [heapq.heappop(heap) for _ in range(min(len(heap), least - 1 - len(popped)))]
+            if not heap:
+                break
+            ahead = heap[0][0]
+        for _, i, at in popped:
+            x = lists[i]
+            at = at + 1 if ahead == top + 1 and x[at] == top else bisect_left(x, ahead, at)
+            if at < len(x):
+                heapq.heappush(heap, (x[at], i, at))
+    return out
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -232,28 +288,43 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     base = df.select(F.col(f"`{id}`").cast("bigint").alias("_id"), F.when(F.col(f"`{id}`").isNotNull(), F.col(f"`{text}`").cast("string")).alias("_text"), F.col(f"`{text}`").cast("string").alias("_any"))
     count, ranges = B.layout(base, "_text")
     nameless = base.where("_id is null").select("_id", "_any")
-    base = base.where("_id is not null").select("_id", F.coalesce("_text", F.lit("")).alias("_text"), B.block_of(F.col("_id"), count).alias("block"))
+    base = base.where("_id is not null").select("_id", F.coalesce("_text", F.lit("")).alias("_text"))
+    base = base.withColumn("block", B.block_of(F.xxhash64("_id", "_text"), count))
     sent = base.groupBy("block").applyInArrow(_send(k, ranges), "range bigint, block int, low binary, many binary")
     answers = sent.groupBy("range").applyInArrow(_answer, "range bigint, block int, level binary")
-    docs = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors(k, ranges, percent, pa.int64()), "_id bigint, n bigint, signature binary, prefix binary, hashes binary")
+    survivors = _survivors(k, ranges, percent, pa.int64())
+    docs = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(survivors, "_id bigint, block int, n bigint, signature binary, prefix binary, hashes binary")
     docs = table(docs, "shingled")
     # the document of the least id that has its class's set with it stands for the class; sets themselves aren't shuffled
-    classes = docs.where("signature is not null").groupBy(F.col("signature").alias("node")).agg(F.min("_id").alias("least"), F.min(F.when(F.col("hashes").isNotNull(), F.col("_id"))).alias("holder"), F.count("*").alias("many"))
+    place = F.struct("_id", "block")
+    classes = docs.where("signature is not null").groupBy(F.col("signature").alias("node")).agg(
+        F.min("_id").alias("least"),
+        F.min(F.when(F.col("hashes").isNotNull(), place)).alias("holder"),
+        F.count("*").alias("many"),
+    )
     classes = table(classes, "classes")
-    held = (docs["signature"] == classes["node"]) & (docs["_id"] == classes["holder"])
-    keys = docs.where("prefix is not null").join(classes, held).select("node", "prefix").mapInArrow(_prefixes(), "h bigint, node binary")
+    held = lambda t: (docs["signature"] == t["node"]) & (docs["_id"] == t["holder"]["_id"]) & (docs["block"] == t["holder"]["block"])
+    keys = docs.where("prefix is not null").join(classes, held(classes)).select("node", "prefix", "n").mapInArrow(_prefixes(percent), "h bigint, node binary")
     keys = table(keys, "prefixes")
-    hubs = keys.groupBy("h").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub")
-    edges = keys.join(hubs, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = keys.groupBy("h").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    edges = join_entries(keys, hubs, "h", F.col("c"), keys.count()).where("hub is not null and node <> hub")
+    edges = edges.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(edges).select(F.col("node").alias("node2"), "label")
     chosen = table(classes.join(clusters, F.col("node") == F.col("node2")).select("node", "holder", "many", "label"), "chosen")
-    members = docs.where("hashes is not null").join(chosen, (docs["signature"] == chosen["node"]) & (docs["_id"] == chosen["holder"])).select("node", "many", "hashes", "label")
+    members = docs.where("hashes is not null").join(chosen, held(chosen)).select("node", "many", "hashes", "label", "n")
     members = table(members, "members")
-    size = F.octet_length("hashes") / 8
-    tasks_wanted = math.ceil((members.agg(F.sum(size)).first()[0] or 0) / CLUSTER_ITEMS * 4) + 1
-    shares = members.groupBy("label").agg(F.ceil(F.sum(size) / CLUSTER_ITEMS).cast("int").alias("parts"))
-    split = members.join(shares, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    tasks_wanted = math.ceil((members.agg(F.sum("n")).first()[0] or 0) / CLUSTER_ITEMS * 4) + 1
+    sizes = members.groupBy("label", "n").agg(F.sum("n").alias("items"))
+    large = table(sizes.groupBy("label").agg(F.sum("items").alias("all")).where(F.col("all") > CLUSTER_ITEMS).select("label"), "large")
+    one = F.lit(0)
+    if large.isEmpty():
+        split = members.withColumns({"part": one, "first": one, "last": one})
+    else:
+        shares = sizes.join(large, "label").groupBy("label").applyInPandas(_shares(CLUSTER_ITEMS, percent), "label binary, n bigint, base int, subs int, first int, last int")
+        split = members.join(table(shares, "shares"), ["label", "n"], "left")
+        part = F.col("base") + F.pmod(F.xxhash64("node"), F.col("subs")).cast("int")
+        split = split.withColumns({"part": F.coalesce(part, one), "first": F.coalesce("first", one), "last": F.coalesce("last", one)}).drop("base", "subs")
+    other = F.explode(F.sequence("first", "last")).alias("other")
     tasks = split.select("*", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     tasks = tasks.repartition(tasks_wanted, "label", "i", "j")  # few bytes, but work: not to be coalesced
     found = table(tasks.groupBy("label", "i", "j").applyInArrow(_search(percent), "node binary, links bigint, root binary"), "links")
@@ -261,11 +332,14 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     linked = components(found.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
     linked = linked.select(F.col("node").alias("c_node"), F.col("label").alias("c_label"))
     info = classes.join(links, F.col("node") == F.col("l_node"), "left").join(linked, F.col("node") == F.col("c_node"), "left")
-    info = table(info.select("node", "least", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("c_label", "node").alias("group")), "info")
+    info = table(info.select("node", "least", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("c_label", "node").alias("group"), "many"), "info")
     least = info.groupBy(F.col("group").alias("g")).agg(F.min("least").alias("component"))
-    info = info.join(least, F.col("group") == F.col("g")).select("node", "n_similar", "component")
-    out = docs.select("_id", "n", "signature").join(info, F.col("signature") == F.col("node"), "left").select(F.col("_id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("bigint").alias("n_similar"), F.coalesce("component", "_id").alias("component_id"))
-    return out.unionByName(nameless.mapInArrow(_count_only(k), "_id bigint, n bigint").select(F.col("_id").alias(id), F.col("n").alias("n_shingles"), F.lit(0).cast("bigint").alias("n_similar"), F.lit(None).cast("bigint").alias("component_id")))
+    info = info.join(least, F.col("group") == F.col("g")).select(F.col("node").alias("signature"), "n_similar", "component", "many")
+    out = join_entries(docs.select("_id", "n", "signature"), info, "signature", F.col("many"), docs.count())
+    out = out.select(F.col("_id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("bigint").alias("n_similar"), F.coalesce("component", "_id").alias("component_id"))
+    alone = nameless.mapInArrow(_count_only(k), "_id bigint, n bigint")
+    alone = alone.select(F.col("_id").alias(id), F.col("n").alias("n_shingles"), F.lit(0).cast("bigint").alias("n_similar"), F.lit(None).cast("bigint").alias("component_id"))
+    return out.unionByName(alone)
 
 
 def _count_only(k: int):

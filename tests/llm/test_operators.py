@@ -256,9 +256,10 @@ def test_near_search_in_parts(spark, docs, monkeypatch):
     assert {tuple(x) for x in near.near_duplicates(docs).where("doc_id is not null").collect()} == brute.near(named)
 
 
-def test_search_against_brute_force():
+def test_search_against_brute_force(monkeypatch):
     import numpy as np
 
+    from lectern.llm import near
     from lectern.llm.near import Index
 
     x = np.random.default_rng(3)
@@ -267,11 +268,23 @@ def test_search_against_brute_force():
         base = x.choice(3000, 80, replace=False) if k % 6 == 0 else np.where(x.random(80) < 0.06, x.choice(3000, 80), sets[-1][:80] if len(sets[-1]) == 80 else x.choice(3000, 80))
         sets.append(np.unique(base).astype(np.uint64))
     index = Index(sets)
-    for s in sets:
+    for k, s in enumerate(sets):
+        monkeypatch.setattr(near, "HEAPED", 0 if k % 2 else 20_000)
         want = [j for j, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 80 * len(np.union1d(s, o))]
         assert index.search(s, 80).tolist() == want
 
 
+@pytest.mark.parametrize("least", [1, 2, 5, 9])
+def test_heap_merge(least):
+    from lectern.llm.near import heap_merge
+
+    x = random.Random(least)
+    for _ in range(200):
+        lists = [sorted(x.sample(range(30), x.randint(0, 20))) for _ in range(9)]
+        n = Counter(v for one in lists for v in one)
+        assert heap_merge(lists, least) == sorted((v, c) for v, c in n.items() if c >= least)
+
+
 def test_components(spark):
     from lectern.llm.components import components
 
