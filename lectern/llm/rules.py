@@ -1,22 +1,24 @@
 """Quality rules: base counts of each text, then robust multivariate outliers by language and source.
 
-Each text gives a vector of transformed statistics. For each group (language, source) the location and scatter are
-minimum-covariance-determinant estimates: from a start at the coordinatewise medians, concentration steps take the
-``SUPPORT`` share of documents at the least Mahalanobis distance and estimate anew from those. Every step is one
-grouped aggregation over all documents: sums of coordinates and of their products, in whole numbers, so that results do
-not depend on the order of tasks; and the distance that bounds the support comes from counts in a fixed histogram of
-distances. Nothing but these sums reaches a shuffle. A text is rejected when it lies beyond the cutoff and to the junk
-side of its group in some statistic.
+Each text gives a vector of transformed statistics. For each group (language, source), each language and the whole, the
+location and scatter are minimum-covariance-determinant estimates: concentration steps take the ``SUPPORT`` share of
+documents at the least Mahalanobis distance and estimate anew from those, from several starts that all documents have a part
+in; the start of the least determinant goes on until it settles. Every step is a grouped aggregation over all documents:
+counts of distances in bins, of those within the bin that bounds the support in steps of it, and sums of coordinates and of
+their products, in whole numbers, so that results do not depend on the order of tasks. Nothing but these reaches a shuffle.
+Estimates of groups are drawn towards those of their language, more so the fewer documents they have. A text is rejected
+when its squared distance is beyond a chi-square quantile that is corrected for the documents the estimate comes from.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.store import table
@@ -34,12 +36,16 @@ SCALE = 256
 #: Words a repeated phrase may have to count as a run; longer ones are seen by windows of eight words.
 PERIOD = 8
 SUPPORT = 0.75
-STEPS = 3
-#: Squared distance beyond which a text is an outlier. Far above any Gaussian quantile (7 coordinates: 63 is one in 2e10), as real texts have longer tails; at sf0.1 good labelled texts reach 163, and labelled junk that passes the base rules starts at 257.
-CUTOFF = 200.0
+#: Logarithm of the chance that a text of a Gaussian group lies beyond the cutoff.
+LOG_TAIL = -27 * math.log(10)
 #: Least scatter of a coordinate, in units of the coordinate: a statistic that is constant in the support still varies.
 FLOOR = 0.04
-LEAST_GROUP = 200
+#: Documents of the parent that a group's estimate is drawn towards.
+PRIOR = 60
+#: A step that lessens the logarithm of the determinant by less ends the concentration.
+SETTLED = 1e-3
+#: Shares are summed as whole numbers of this part.
+UNIT = 1 << 16
 
 
 def _count(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -139,41 +145,114 @@ def base_statistics(df: DataFrame, id: str = "doc_id", text: str = "text", group
 
 P = len(STATS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-#: Scatter of the least SUPPORT of distances understates that of all by this, for a Gaussian of 7 coordinates.
-CONSISTENCY = 1.325
-ESTIMATE = "grp string, " + ", ".join(f"c{i} double" for i in range(P)) + ", " + ", ".join(f"a{i}_{j} double" for i, j in PAIRS)
+#: Starts of the concentration: medians with their spreads; with correlations of squashed coordinates; with those of directions.
+STARTS = 3
+#: Distances are told apart in their logarithm, in bins and then in steps of a bin.
+BINS, STEPS = 8, 4096
+ESTIMATE = "grp string, start int, n bigint, logdet double, done boolean, " + ", ".join(f"c{i} double" for i in range(P)) + ", " + ", ".join(f"v{i}_{j} double" for i, j in PAIRS)
+
+
+def chi2_tail(x: float, p: float) -> float:
+    """Logarithm of the chance that a sum of ``p`` squared Gaussians exceeds ``x``: the upper incomplete gamma function."""
+    a, z = p / 2, x / 2
+    if z < a + 1:  # series of the lower one
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-17:
+            n += 1
+            term *= z / n
+            total += term
+        return math.log1p(-min(1 - 1e-16, total * math.exp(a * math.log(z) - z - math.lgamma(a)))) if z > 0 else 0.0
+    b, c = z + 1 - a, 1e300  # continued fraction
+    d = h = 1 / b
+    for i in range(1, 500):
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b)
+        c = b + an / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return a * math.log(z) - z - math.lgamma(a) + math.log(h)
+
+
+def chi2_quantile(log_tail: float, p: float) -> float:
+    """The squared distance beyond which a Gaussian of ``p`` coordinates lies with this (logarithm of a) chance."""
+    low, high = 0.0, 10.0
+    while chi2_tail(high, p) > log_tail:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_tail(mid, p) > log_tail else (low, mid)
+    return high
+
+
+#: Scatter of the SUPPORT share at the least distances understates that of all by this, for a Gaussian.
+CONSISTENCY = SUPPORT / -math.expm1(chi2_tail(chi2_quantile(math.log(1 - SUPPORT), P), P + 2))
+
+
+def _numbers(t: pd.DataFrame, name: str) -> np.ndarray:
+    return t[[f"{name}{i}" for i in range(P)]].to_numpy(float)
+
+
+def _square(t: pd.DataFrame, name: str) -> np.ndarray:
+    out = np.zeros((len(t), P, P))
+    for i, j in PAIRS:
+        out[:, i, j] = out[:, j, i] = t[f"{name}{i}_{j}"].to_numpy(float)
+    return out
 
 
-def _estimate(grp: list, centre: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
-    """Rows of ESTIMATE: centres and inverses of the scatters with FLOOR added."""
-    inverse = np.linalg.inv(scatter + np.eye(P) * FLOOR**2) if len(centre) else scatter
-    columns = {"grp": grp} | {f"c{i}": centre[:, i] for i in range(P)} | {f"a{i}_{j}": inverse[:, i, j] for i, j in PAIRS}
-    return pd.DataFrame(columns)
+def _estimate(t: pd.DataFrame, start, n, centre: np.ndarray, scatter: np.ndarray, done=False) -> pd.DataFrame:
+    """Rows of ESTIMATE, with FLOOR added to each scatter."""
+    scatter = scatter + np.eye(P) * FLOOR**2
+    logdet = np.linalg.slogdet(scatter)[1] if len(t) else np.zeros(0)
+    columns = {"grp": t["grp"].tolist(), "start": start, "n": n, "logdet": logdet, "done": done}
+    return pd.DataFrame(columns | {f"c{i}": centre[:, i] for i in range(P)} | {f"v{i}_{j}": scatter[:, i, j] for i, j in PAIRS})
 
 
-def _start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for t in batches:
+        n = t["n"].to_numpy()
+        centre, spread = _numbers(t, "m") / SCALE, 1.4826 * _numbers(t, "s") / SCALE
+        both = spread[:, :, None] * spread[:, None, :]
+        squashed, mean = _square(t, "t") / UNIT / n[:, None, None], _numbers(t, "t") / UNIT / n[:, None]
+        squashed = squashed - mean[:, :, None] * mean[:, None, :]
+        own = np.sqrt(np.maximum(np.einsum("nii->ni", squashed), 1e-12))
+        for k, scatter in enumerate((both * np.eye(P), both * squashed / (own[:, :, None] * own[:, None, :]), both * _square(t, "u") / UNIT / n[:, None, None] * P)):
+            yield _estimate(t, k, n, centre, scatter)
+
+
+def _concentrated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The estimate of each group's support, and whether its determinant is no longer the less for it."""
     for t in batches:
-        centre = t[[f"m{i}" for i in range(P)]].to_numpy(float) / SCALE
-        spread = 1.4826 * t[[f"s{i}" for i in range(P)]].to_numpy(float) / SCALE
-        yield _estimate(t["grp"].tolist(), centre, np.einsum("ni,ij->nij", spread**2, np.eye(P)))
+        h = t["h"].to_numpy(float)[:, None]
+        centre = _numbers(t, "s") / h
+        scatter = _square(t, "p") / h[:, :, None] - centre[:, :, None] * centre[:, None, :]
+        out = _estimate(t, t["start"].tolist(), t["n"].tolist(), centre / SCALE, scatter / SCALE**2)
+        out["done"] = out["logdet"].to_numpy() > t["was"].to_numpy() - SETTLED
+        yield out
 
 
-def _concentrate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _inverses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for t in batches:
-        n = t["n"].to_numpy(float)
-        centre = t[[f"s{i}" for i in range(P)]].to_numpy(float) / n[:, None]
-        scatter = np.zeros((len(t), P, P))
-        for i, j in PAIRS:
-            scatter[:, i, j] = scatter[:, j, i] = t[f"p{i}_{j}"].to_numpy(float) / n - centre[:, i] * centre[:, j]
-        yield _estimate(t["grp"].tolist(), centre / SCALE, scatter / SCALE**2 * CONSISTENCY)
+        inverse = np.linalg.inv(_square(t, "v")) if len(t) else np.zeros((0, P, P))
+        yield t[[c for c in t.columns if not c.startswith("v")]].assign(**{f"a{i}_{j}": inverse[:, i, j] for i, j in PAIRS})
 
 
-def _distance():
-    d = [F.col(x) / F.lit(float(SCALE)) - F.col(f"c{i}") for i, x in enumerate(STATS)]
-    total = F.lit(0.0)
-    for i, j in PAIRS:
-        total = total + d[i] * d[j] * F.col(f"a{i}_{j}") * F.lit(1.0 if i == j else 2.0)
-    return total
+def with_inverse(estimate: DataFrame) -> DataFrame:
+    """An estimate with the inverse of its scatter in place of it."""
+    keep = [f"{f.name} {f.dataType.simpleString()}" for f in estimate.schema.fields if not f.name.startswith("v")]
+    return estimate.mapInPandas(_inverses, ", ".join([*keep, *(f"a{i}_{j} double" for i, j in PAIRS)]))
+
+
+def _distance() -> str:
+    d = [f"({x} / {SCALE}D - c{i})" for i, x in enumerate(STATS)]
+    return " + ".join(f"{d[i]} * {d[j]} * a{i}_{j} * {1 if i == j else 2}D" for i, j in PAIRS)
+
+
+def _sql(*columns: str) -> list[Column]:
+    """Columns of SQL: one call each, as wide tables here would take thousands."""
+    return [F.expr(c) for c in columns]
 
 
 def _median(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -184,51 +263,115 @@ def _median(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     return t.where(F.col("up") * 2 >= F.col("all")).groupBy(*keys).agg(F.min(value).alias("median"))
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant location and inverse scatter of each ``grp`` of ``rows``."""
-    values = rows.select("grp", F.posexplode(F.array(*STATS)).alias("k", "v")).groupBy("grp", "k", "v").agg(F.count("*").alias("n"))
-    values = table(values, "values")
+def _whole(x: str) -> str:
+    """A number as so many UNITs, so that sums don't depend on the order of tasks."""
+    return f"sum(cast(round({x} * {UNIT}D) AS bigint))"
+
+
+def _first_estimates(rows: DataFrame) -> DataFrame:
+    values = table(rows.select("grp", F.posexplode(F.array(*STATS)).alias("k", "v")).groupBy("grp", "k", "v").agg(F.count("*").alias("n")), "values")
     medians = _median(values, ["grp", "k"], "v")
     off = values.join(medians, ["grp", "k"]).withColumn("d", F.abs(F.col("v") - F.col("median"))).groupBy("grp", "k", "d").agg(F.sum("n").alias("n"))
     spreads = _median(off, ["grp", "k"], "d").withColumnRenamed("median", "spread")
-    pick = lambda c, i: F.max(F.when(F.col("k") == i, F.col(c)))
-    start = medians.join(spreads, ["grp", "k"]).groupBy("grp").agg(*(pick("median", i).alias(f"m{i}") for i in range(P)), *(pick("spread", i).alias(f"s{i}") for i in range(P)))
-    now = table(start.mapInPandas(_start, ESTIMATE), "estimate")
-    for _ in range(steps):
-        near = rows.join(now, "grp").withColumn("d2", _distance())
-        bins = near.groupBy("grp", F.floor(F.log(F.greatest("d2", F.lit(1e-4))) * 20).cast("int").alias("bin")).agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(STATS)), *(F.sum(F.col(STATS[i]).cast("bigint") * F.col(STATS[j])).alias(f"p{i}_{j}") for i, j in PAIRS))
-        bins = table(bins, "bins")
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        kept = bins.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy("grp"))).where(F.col("before") < F.lit(SUPPORT) * F.col("all"))
-        sums = kept.groupBy("grp").agg(*(F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(P)), *(f"p{i}_{j}" for i, j in PAIRS))))
-        now = table(sums.mapInPandas(_concentrate, ESTIMATE), "estimate")
-    return now
-
-
-def quality_rules(df: DataFrame, id: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF, least_group: int = LEAST_GROUP) -> DataFrame:
-    """One row for each row of ``df``: id, ``n_words``, the four other base counts, ``base_failed``, ``kept``, ``distance``.
-
-    A null or empty text has no words and fails the base rules. Null languages or sources are groups of their own.
-    Groups of fewer than ``least_group`` texts that pass the base rules are pooled by language, and those pools, if
-    still fewer, in one; the last pool is used at any size above 8, and below that nothing more is rejected and the
-    distance is null. Repeated rows count each; ids may be null or repeat; an empty table gives an empty result.
+    pick = [f"max(CASE WHEN k = {i} THEN {c} END) AS {c[0]}{i}" for c in ("median", "spread") for i in range(P)]
+    middle = table(medians.join(spreads, ["grp", "k"]).groupBy("grp").agg(*_sql(*pick)), "medians")
+    near = rows.join(middle, "grp").select("grp", *_sql(*(f"({x} - m{i}) / (1.4826D * s{i} + {FLOOR * SCALE}D) AS z{i}" for i, x in enumerate(STATS))))
+    length = " + ".join(f"z{i} * z{i}" for i in range(P))
+    near = near.select("*", F.expr(f"sqrt({length} + 1e-9D) AS length")).select("grp", *_sql(*(f"tanh(z{i}) AS t{i}" for i in range(P)), *(f"z{i} / length AS u{i}" for i in range(P))))
+    squares = (f"{_whole(f'{c}{i} * {c}{j}')} AS {c}{i}_{j}" for c in "tu" for i, j in PAIRS)
+    sums = near.groupBy("grp").agg(*_sql("count(*) AS n", *(f"{_whole(f't{i}')} AS t{i}" for i in range(P)), *squares))
+    return table(sums.join(middle, "grp").mapInPandas(_starts, ESTIMATE), "starts")
+
+
+def _concentrate(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """One concentration step: location and scatter of the SUPPORT share of each group at the least distances from ``now``."""
+    far = rows.join(with_inverse(now), "grp").withColumn("far", F.expr(f"cast(floor(ln(greatest({_distance()}, 1e-6D)) * {BINS * STEPS}) AS int)"))
+    of = ["grp", "start"]
+    before = Window.partitionBy(*of).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.ceil(F.lit(SUPPORT) * F.col("n"))
+
+    def up_to(counts: DataFrame, at: str, want: Column) -> DataFrame:
+        """The first place of each group at which its rows, counted up, are as many as wanted."""
+        t = counts.withColumn("before", F.coalesce(F.sum("m").over(before.orderBy(at)), F.lit(0)))
+        return t.where((F.col("before") < want) & (F.col("before") + F.col("m") >= want))
+
+    bins = far.groupBy(*of, "n", F.floor(F.col("far") / STEPS).cast("int").alias("bin")).agg(F.count("*").alias("m"))
+    bins = table(up_to(bins, "bin", wanted).select(*of, "bin", "before", "n"), "bins")
+    steps = far.drop("n").join(bins, of).where(F.floor(F.col("far") / STEPS) == F.col("bin"))
+    steps = steps.groupBy(*of, "far", "n", F.col("before").alias("below")).agg(F.count("*").alias("m"))
+    limit = table(up_to(steps, "far", wanted - F.col("below")).select(*of, F.col("far").alias("limit")), "limits")
+    totals = (*(f"sum({x}) AS s{i}" for i, x in enumerate(STATS)), *(f"sum(cast({STATS[i]} AS bigint) * {STATS[j]}) AS p{i}_{j}" for i, j in PAIRS))
+    sums = far.join(limit, of).where("far <= limit").groupBy(*of, "n", F.col("logdet").alias("was")).agg(*_sql("count(*) AS h", *totals))
+    return table(sums.mapInPandas(_concentrated, ESTIMATE), "estimates")
+
+
+def minimum_covariance(rows: DataFrame) -> DataFrame:
+    """Location and scatter of each ``grp`` of ``rows`` of least determinant, and the group's size ``n``.
+
+    Two steps from every start; the start of least determinant goes on until a step lessens it by less than SETTLED.
+    """
+    now = _first_estimates(rows)
+    for _ in range(2):
+        now = _concentrate(rows, now)
+    best = Window.partitionBy("grp").orderBy("logdet", "start")
+    now = table(now.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r").withColumn("done", F.lit(False)), "best")
+    settled = now.where("done")
+    while not now.isEmpty():
+        now = _concentrate(rows, now)
+        settled = settled.unionByName(now.where("done"))
+        now = table(now.where("not done"), "moving")
+    return table(settled.drop("done", "start", "logdet"), "settled")
+
+
+def _shrunk(own: DataFrame, parent: DataFrame) -> DataFrame:
+    """Estimates drawn towards those of their parents, as PRIOR documents of the parent's would, and ``m``: how many documents know as much."""
+    names = [*(f"c{i}" for i in range(P)), *(f"v{i}_{j}" for i, j in PAIRS)]
+    up = parent.select(*_sql("grp AS up", "m AS up_m", *(f"{c} AS up_{c}" for c in names)))
+    both = own.join(up, "up").select("*", *_sql("coalesce(n, 0) AS size", f"coalesce(n, 0) / (coalesce(n, 0) + {PRIOR}D) AS w"))
+    knows = "1 / (w * w / greatest(size, 1) + (1 - w) * (1 - w) / up_m) AS m"
+    return both.select(*_sql("grp", knows, *(f"coalesce({c}, 0) * w + up_{c} * (1 - w) AS {c}" for c in names)))
+
+
+def _cutoffs(log_tail: float):
+    """Rows of estimates with the inverse of their scatter and the cutoff of their squared distances.
+
+    The distance of a text from an estimate that m texts know as much as is a multiple of an F of P and m - P + 1 degrees; its
+    tail of so small a chance is that of the chi-square quantile q, taken through q -> m (exp(q / m) - 1).
+    """
+    q = chi2_quantile(log_tail, P)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            m = t["m"].to_numpy(float)
+            yield t.assign(cutoff=m * np.expm1(np.minimum(q / m, 500)))
+
+    return run
+
+
+def quality_rules(df: DataFrame, id: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source"), log_tail: float = LOG_TAIL) -> DataFrame:
+    """One row for each row of ``df``: id, ``n_words``, the four other base counts, ``base_failed``, ``kept``, ``distance``
+    (squared) and ``cutoff``.
+
+    A null or empty text has no words and fails the base rules. Null languages or sources are groups of their own. Every
+    group (language, source) has its own estimate from the texts that pass the base rules, drawn towards its language's,
+    and that towards the estimate of all, so that a group of one text is judged too. ``log_tail`` is the logarithm of the
+    chance that a text of a Gaussian group lies beyond the cutoff. Repeated rows count each; ids may be null or repeat. Where
+    no text passes the base rules, distance and cutoff are null; an empty table gives an empty result.
     """
     stats = table(base_statistics(df, id, text, groups), "statistics")
     # a null and the string that stands for it here never meet: other strings get a mark in front
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    rows = stats.withColumn("g1", F.concat_ws("\t", name("lang"), name("source"))).withColumn("g2", name("lang"))
-    passed = F.count(F.when(~F.col("base_failed"), 1))
-    n1 = rows.groupBy("g1", "g2").agg(passed.alias("n1"))
-    n2 = n1.where(F.col("n1") < least_group).groupBy("g2").agg(F.sum("n1").alias("n2"))
-    grp = F.when(F.col("n1") >= least_group, F.col("g1")).when(F.col("n2") >= least_group, F.col("g2")).otherwise(F.lit("all"))
-    names = n1.join(n2, "g2", "left").select("g1", grp.alias("grp"))
-    rows = table(rows.join(names, "g1").drop("g1", "g2"), "grouped")
-    good = rows.where(~F.col("base_failed"))
-    sizes = good.groupBy("grp").agg(F.count("*").alias("size"))
-    found = estimates(good).join(sizes.where("size > 8"), "grp")
-    d2 = _distance()
-    # a coordinate counts as junk when it is far above its group by itself
-    above = F.greatest(*(((F.col(x) / F.lit(float(SCALE)) - F.col(f"c{i}")) * F.sqrt(F.col(f"a{i}_{i}"))) for i, x in enumerate(STATS)))
-    out = rows.join(found, "grp", "left").withColumn("distance", d2)
-    outlier = F.coalesce((F.col("distance") > cutoff) & (above > F.sqrt(F.lit(cutoff)) * 0.7), F.lit(False))
-    return out.select(F.col("_id").alias(id), *BASE, "base_failed", (~F.col("base_failed") & ~outlier).alias("kept"), "distance")
+    levels = (F.lit("all"), F.concat_ws("\t", F.lit("1"), name("lang")), F.concat_ws("\t", F.lit("2"), name("lang"), name("source")))
+    good = stats.where(~F.col("base_failed"))
+    found = minimum_covariance(good.select(F.explode(F.array(*levels)).alias("grp"), *STATS))
+    found = found.select(*_sql("grp", "n", *(f"c{i}" for i in range(P)), *(f"v{i}_{j} * {CONSISTENCY}D AS v{i}_{j}" for i, j in PAIRS)))
+    sites = table(stats.select(levels[2].alias("grp"), levels[1].alias("up")).distinct(), "sites")
+    whole = found.where("grp = 'all'").withColumn("m", F.col("n").cast("double"))
+    langs = sites.select(F.col("up").alias("grp"), F.lit("all").alias("up")).distinct()
+    langs = table(_shrunk(langs.join(found, "grp", "left"), whole), "languages")
+    sites = _shrunk(sites.join(found, "grp", "left"), langs)
+    sites = with_inverse(sites).mapInPandas(_cutoffs(log_tail), "grp string, m double, " + ", ".join(f"c{i} double" for i in range(P)) + ", " + ", ".join(f"a{i}_{j} double" for i, j in PAIRS) + ", cutoff double")
+    sites = table(sites, "cutoffs")
+    out = stats.withColumn("grp", levels[2]).join(sites, "grp", "left").withColumn("distance", F.expr(_distance()))
+    outlier = F.coalesce(F.col("distance") > F.col("cutoff"), F.lit(False))
+    return out.select(F.col("_id").alias(id), *BASE, "base_failed", (~F.col("base_failed") & ~outlier).alias("kept"), "distance", "cutoff")
