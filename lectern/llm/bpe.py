@@ -28,6 +28,10 @@ CACHED = 150_000
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Code points that Unicode 16 added with letters or numbers; Python's own tables may be older, the regex library's newer.
 UNICODE_16: tuple[tuple[int, int], ...] = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CE), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x16EA0, 0x16EB8), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0))
+#: Capitals that Unicode 16 and 17 added, and their small letters.
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+NEW_CAPITAL = re.compile("[" + "".join(map(chr, CAPITALS)) + "]")
 LATIN = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 LATIN_NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 CLITIC = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -121,6 +125,8 @@ class Codec:
         """Normalised pieces: NFC, white space as one space, each character in lower case by itself."""
         if BEYOND_LATIN.search(text):
             text = SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
+            if NEW_CAPITAL.search(text):
+                text = text.translate(CAPITALS)
             return piece_pattern().findall("".join(map(str.lower, text)) if "σ" in text else text.lower())
         return PIECE_LATIN.findall(text.lower())
 

@@ -172,10 +172,11 @@ def learn(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     wanted = {(k, long): SAMPLE_ROWS - (counts.get((k, False), 0) if long else 0) for k, long in counts}
     limits = df.sparkSession.createDataFrame([(k, long, min(1.0, max(0, wanted[k, long]) / n)) for (k, long), n in sorted(counts.items())], "lang string, long boolean, most double")
     share = (F.pmod(F.col("h"), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
-    texts: dict[str, list[bytes]] = {}
-    for r in rows.join(F.broadcast(limits), ["lang", "long"]).where(share < F.col("most")).select("lang", F.lower("text").alias("text"), "h").orderBy("lang", "h", "text").collect():
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
-    return Trees(texts)
+    texts: dict[str, list[str]] = {}
+    for r in rows.join(F.broadcast(limits), ["lang", "long"]).where(share < F.col("most")).select("lang", "text", "h").orderBy("lang", "h", "text").collect():
+        texts.setdefault(r["lang"], []).append(r["text"])
+    # lower-cased as texts to predict are, by the same tables
+    return Trees({lang: [x.encode() for x in pc.utf8_lower(pa.array(found, pa.large_string())).to_pylist()] for lang, found in texts.items()})
 
 
 def has_letter(text: str) -> bool:

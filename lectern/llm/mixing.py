@@ -33,6 +33,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def _bits(digest: Column, digits: int) -> Column:
+    """The first hexadecimal digits of a digest as a number."""
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
+
+
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
     """``df`` with ``k``, its place from 0 on in an order of all rows, without a task that sees all of them."""
     runs = table(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sorted")
@@ -73,16 +78,16 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     """
     size = word_count(F.col(f"`{text}`"))
     content = F.sha2(F.concat_ws(",", F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("-")), F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256)), 256)
-    rows = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{source}`").cast("string").alias("_source"), size.alias("size"), F.conv(F.substring(content, 1, 15), 16, 10).cast("bigint").alias("h"))
+    rows = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{source}`").cast("string").alias("_source"), size.alias("size"), _bits(content, 15).alias("h"))
     rows = table(rows, "sizes")
     by_source = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     goal = targets(by_source.select("source", "source_size"), most, weights)
     goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0))
-    goal = goal.withColumn("offset", F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    goal = goal.withColumn("offset", _bits(F.sha2(F.concat(F.lit(f"{seed},"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))), 256), 13) / F.lit(float(1 << 52)))
     goal = table(goal, "targets")
 
     # a place in the order: large documents first, then the size's length and ten more bits of it, the hash for the rest
-    length = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double"))).cast("int")).otherwise(0)
+    length = F.length(F.bin("size")) - 1
     lead = F.call_function("shiftright", F.shiftleft("size", 10), length).bitwiseAND(F.lit(1023))
     bits = 17 + max(0, min(30, math.ceil(math.log2(max(1, rows.count() / CELL)))))
     rows = rows.join(goal.select(F.col("source").alias("g_source"), F.col("target").alias("g_target")), F.col("_source").eqNullSafe(F.col("g_source")))

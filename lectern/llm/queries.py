@@ -94,6 +94,25 @@ ORACLE_SQL = {
         least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id), direct AS (SELECT a, count(*) AS c FROM l GROUP BY a)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, 0)::BIGINT AS n_similar, component_id FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN direct ON d.doc_id = direct.a
     """,
+    # large documents first, the rest at the rate that is left; places by the size's length and ten more bits, then by content
+    "op9_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+            ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, '-') || ',' || sha256(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM d GROUP BY source),
+        w AS (SELECT source, source_size, k, (k % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
+        f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER up, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER up, 0)) AS water
+            FROM w WINDOW up AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT arg_min(water, (cap / weight, k)) FILTER (cap >= water * weight) AS level FROM f),
+        g AS (SELECT source, source_size, least(cap, level * weight) AS target, CASE WHEN source_size > 0 THEN least(least(cap, level * weight) / source_size, 3.0) ELSE 0 END AS rate,
+            ('0x' || substr(sha256('17,' || coalesce('=' || source, '-')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS o FROM w, l),
+        p AS (SELECT doc_id, d.source, size, h, size > 0.03::DOUBLE * target AS large, length(bin(size)) - 1 AS n FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source, large ORDER BY n DESC, ((size << 10) >> n) & 1023 DESC, h, size DESC, doc_id) - 1 AS k FROM p),
+        a AS (SELECT r.*, source_size, target, o, CASE WHEN size = 0 THEN 0 ELSE least(floor(rate) + floor(o + (rate - floor(rate)) * (k + 1)) - floor(o + (rate - floor(rate)) * k), 3) END AS c, rate FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source),
+        b AS (SELECT source, coalesce(sum(size * c) FILTER (large), 0) AS got, coalesce(sum(size) FILTER (NOT large), 0) AS rest FROM a GROUP BY source),
+        e AS (SELECT a.*, CASE WHEN rest > 0 THEN least(greatest((target - got) / rest, 0.0), 3.0) ELSE 0 END AS other FROM a JOIN b ON a.source IS NOT DISTINCT FROM b.source),
+        t AS (SELECT *, CASE WHEN large THEN c WHEN size = 0 THEN 0 ELSE least(floor(other) + floor(o + (other - floor(other)) * (k + 1)) - floor(o + (other - floor(other)) * k), 3) END AS n_copies FROM e)
+        SELECT doc_id, size, source_size, target, n_copies::INT AS copies, (size * n_copies)::BIGINT AS taken FROM t
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
