@@ -45,7 +45,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.pii import find_pii
 
-    return find_pii(documents(spark, sf_dir)).drop("found")
+    return find_pii(documents(spark, sf_dir)).drop("candidates")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.secrets import find_secrets
 
-    return find_secrets(documents(spark, sf_dir)).drop("found")
+    return find_secrets(documents(spark, sf_dir)).drop("candidates")
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_substring_dedup, op4_exact_dedup, op5_quality_rules, op6_pii, op7_language_id, op8_ngram_jaccard, op9_mixing, op10_secrets)}
