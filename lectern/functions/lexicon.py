@@ -8,10 +8,12 @@ one pass over a text; matches must begin and end where tokens do.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ EXCEPTIONS = {"puffery": "puffery_exception", "intensifier": "intensifier_except
 INFLECTED = ("puffery", "editorializing", "filler", "transition", "intensifier", "praise")
 HIT = "array<struct<list:string,phrase:string,start:int,end:int,before:string,after:string>>"
 _VOWELS = "aeiou"
+NOT_SPACE = re.compile(r"\S")
 
 
 def inflections(word: str) -> set[str]:
@@ -44,11 +47,12 @@ def lower(text: str) -> str:
 
 def resolve(matches: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """(tokens, start, end, phrase) accepted by falling tokens and rising start, none touching another."""
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # none overlaps another, so starts and ends rise together
     kept = []
     for m in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-        if all(m[2] <= s or m[1] >= e for s, e in taken):
-            taken.append((m[1], m[2]))
+        i = bisect_left(taken, (m[2], 0))
+        if i == 0 or taken[i - 1][1] <= m[1]:
+            taken.insert(i, (m[1], m[2]))
             kept.append(m)
     return sorted(kept, key=lambda m: m[1])
 
@@ -96,7 +100,10 @@ def find(text: str, lists: tuple[str, ...], forms: bool) -> list[tuple]:
         shielded = [(s, e) for _, s, e, _ in found.get(EXCEPTIONS.get(name, ""), ())]
         for _, s, e, phrase in resolve(found.get(name, [])):
             if not any(a <= s and e <= b for a, b in shielded):
-                before, after = low[max(0, s - 64) : s].rstrip()[-1:], low[e : e + 64].lstrip()[:1]
+                last, ahead = s - 1, NOT_SPACE.search(low, e)
+                while last >= 0 and low[last].isspace():
+                    last -= 1
+                before, after = low[last] if last >= 0 else "", ahead[0] if ahead else ""
                 out.append((name, phrase, s, e, before, after))
     return out
 
@@ -116,18 +123,40 @@ def hits(text: Column, lists: tuple[str, ...], forms: bool = False) -> Column:
 def flattest_run(lengths: list[int], least: int = 3) -> tuple[int, int] | None:
     """The longest run of near-equal lengths: greatest less least within max(2, a quarter of the mean); the first of equals."""
     best: tuple[int, int] | None = None
-    for i in range(len(lengths)):
+    n = len(lengths)
+    low_of, high_of = _extremes(lengths, np.minimum), _extremes(lengths, np.maximum)
+    for i in range(n):
+        wanted = max(least, best[1] - best[0] + 1 if best else 0)
+        if i + wanted > n:
+            break
+        # no run from here is longer unless so many lengths are within what the greatest of them would allow
+        low, high = _extreme(low_of, i, i + wanted, min), _extreme(high_of, i, i + wanted, max)
+        if high - low > max(2, 0.25 * high):
+            continue
         low = high = lengths[i]
         total = 0
-        for j in range(i, len(lengths)):
+        for j in range(i, n):
             low, high, total = min(low, lengths[j]), max(high, lengths[j]), total + lengths[j]
             if high - low > max(2, 0.25 * total / (j - i + 1)):
                 break
-            if j - i + 1 >= least and (best is None or j - i + 1 > best[1] - best[0]):
+            if j - i + 1 >= wanted:
                 best = (i, j + 1)
     return best
 
 
+def _extremes(x: list[int], f: np.ufunc) -> list[np.ndarray]:
+    """Least or greatest values of runs of 1, 2, 4 and so on."""
+    out = [np.asarray(x)]
+    while len(out[-1]) > 1 << (len(out) - 1):
+        out.append(f(out[-1][: -(1 << (len(out) - 1))], out[-1][1 << (len(out) - 1) :]))
+    return out
+
+
+def _extreme(of: list[np.ndarray], i: int, j: int, f) -> int:
+    k = (j - i).bit_length() - 1
+    return int(f(of[k][i], of[k][j - (1 << k)]))
+
+
 def flat_runs(lengths: Column) -> Column:
     """``flattest_run`` of an array column, as (first, end) or null."""
 

@@ -1,11 +1,21 @@
 """What happens to a document's findings, in this order: suppression by line, quotations, precedence, counts, budgets,
-demotion, the document's grade, and the order of the report. All inside the row; a finding dropped early neither wins
-precedence nor spends a budget."""
+demotion, the document's grade, and the order of the report. All inside the row, over Arrow batches; a finding dropped early
+neither wins precedence nor spends a budget."""
 
 from __future__ import annotations
 
+import math
+import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from lectern.config import Config
 from lectern.functions import text as T
@@ -17,103 +27,127 @@ CATEGORIES = {"adverbs": "NB301", "complexWords": "NB401", "hardSentences": "NB2
 SEVERITIES = {"error": 4.0, "warning": 2.0, "info": 1.0}
 
 
-def has_code(code: str):
-    return lambda f: f["code"] == code
+FIELDS = ("code", "name", "message", "severity", "suggestion", "applicability", "text", "start", "end", "line", "end_line", "col", "end_col")
+SETTLED = "array<struct<code:string,name:string,message:string,severity:string,suggestion:string,applicability:string,text:string,start:int,end:int,line:int,end_line:int,col:int,end_col:int>>"
+QUOTED, QUOTE_LINES = re.compile(P.QUOTED), re.compile(r"^[ \t]*>[^\n]*(?:\n[ \t]*>[^\n]*)*", re.M)
+SUPPRESS, SPACES = re.compile(P.SUPPRESS, re.A), re.compile(f"[{T.WS}]+")
 
 
-def with_field(f: Column, **values: Column) -> Column:
-    for k, v in values.items():
-        f = f.withField(k, v)
-    return f
+class Spans:
+    """Spans that answer by binary search: starts in order, and the greatest end up to each."""
 
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.spans = sorted(spans)
+        self.starts = [s for s, _ in self.spans]
+        self.reach = list(accumulate((e for _, e in self.spans), max))
 
-def locate(findings: Column) -> Column:
-    """Findings with line, col, end_line and end_col, of the original text. Line starts are found once a document."""
+    def contains(self, start: int, end: int) -> bool:
+        """Whether one of them holds all of a span."""
+        i = bisect_right(self.starts, start)
+        return i > 0 and self.reach[i - 1] >= end
 
-    def place(starts: Column) -> Column:
-        line = lambda at: F.size(F.filter(starts, lambda s: s <= at))
-        col = lambda at, n: (at - F.get(starts, n - 1) + 1).cast("int")
-        lines = F.transform(findings, lambda f: with_field(f, line=line(f["start"]), end_line=line(f["end"])))
-        return F.transform(lines, lambda f: with_field(f, col=col(f["start"], f["line"]), end_col=col(f["end"], f["end_line"])))
+    def meets(self, start: int, end: int) -> bool:
+        """Whether one of them overlaps a span."""
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.reach[i - 1] > start
 
-    starts = T.prefix(F.transform(F.split("_original", "\n", -1), lambda x: F.length(x) + 1))
-    kind = "struct<code:string,name:string,message:string,severity:string,suggestion:string,applicability:string,text:string,start:int,end:int,line:int,end_line:int,col:int,end_col:int>"
-    return F.when(F.size(findings) > 0, T.let(starts, place)).otherwise(F.array().cast(f"array<{kind}>"))
+    def overlap(self, start: int, end: int) -> int:
+        """Characters that a span shares with each of them, summed."""
+        i, out = bisect_left(self.starts, end), 0
+        while i > 0 and self.reach[i - 1] > start:
+            i -= 1
+            out += max(0, min(end, self.spans[i][1]) - max(start, self.spans[i][0]))
+        return out
 
 
-def suppressed(findings: Column) -> Column:
-    """Without those that start on a line that suppresses their code, or all codes."""
-    lines = F.transform(F.split("_original", "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
-    codes = lambda x: F.filter(F.transform(F.split(F.regexp_extract(x["text"], P.SUPPRESS, 1), ","), lambda c: F.upper(T.flat(c))), lambda c: c != "")
-    rules = F.transform(F.filter(lines, lambda x: x["text"].rlike(P.SUPPRESS)), lambda x: F.struct(x["line"].alias("line"), codes(x).alias("codes")))
-    hit = lambda f: F.exists(rules, lambda r: (r["line"] == f["line"]) & ((F.size(r["codes"]) == 0) | F.array_contains(r["codes"], f["code"])))
-    return F.when(F.col("_original").rlike(P.SUPPRESS), F.filter(findings, lambda f: ~hit(f))).otherwise(findings)
+def flat(text: str) -> str:
+    return SPACES.sub(" ", text).strip(" ")
 
 
-def quotations(found: Column, kind: str) -> tuple[Column, Column]:
-    """(regions of two and more words, inner spans of all quotations)"""
-    two = F.filter(found, lambda q: F.size(F.split(T.flat(q["text"]), " ")) >= 2)
-    regions = F.transform(two, lambda q: F.struct(q["start"].alias("start"), q["end"].alias("end")))
-    if kind == "markdown":
-        lines = T.spans("_original", P.QUOTE_LINES)
-        regions = F.concat(regions, F.transform(lines, lambda q: F.struct(q["start"].alias("start"), (q["start"] + F.length(F.regexp_replace(q["text"], r"\r\z", ""))).cast("int").alias("end"))))
-    return regions, F.transform(found, lambda q: F.struct((q["start"] + 1).cast("int").alias("start"), (q["end"] - 1).cast("int").alias("end")))
-
-
-def unquoted(findings: Column) -> Column:
-    """Without those inside a quotation or equal to what one mentions; hard sentences mostly quoted are advisory."""
-    inside = lambda f: F.exists("_regions", lambda r: (r["start"] <= f["start"]) & (f["end"] <= r["end"]))
-    named = lambda f: F.exists("_mentions", lambda m: (m["start"] == f["start"]) & (m["end"] == f["end"]))
-    overlap = lambda f: F.aggregate("_regions", F.lit(0), lambda a, r: a + F.greatest(F.lit(0), F.least(f["end"], r["end"]) - F.greatest(f["start"], r["start"])))
-    mostly = lambda f: f["code"].isin("NB201", "NB202") & (overlap(f) * 2 > f["end"] - f["start"])
-    kept = F.filter(findings, lambda f: ~inside(f) & ~named(f))
-    return F.transform(kept, lambda f: f.withField("severity", F.when(mostly(f), "info").otherwise(f["severity"])))
-
-
-def by_precedence(findings: Column) -> Column:
-    """Without those that an overlapping finding of a stronger code covers; winners need not survive themselves."""
-    wins = lambda f, winners: lambda w: w["code"].isin(*winners) & (w["start"] < f["end"]) & (f["start"] < w["end"])
-
-    def covered(f: Column) -> Column:
-        out = F.lit(False)
-        for loser, winners in PRECEDENCE.items():
-            out = out | ((f["code"] == loser) & F.exists(findings, wins(f, winners)))
-        return out
+class Lines:
+    """Offsets of a text as 1-based lines and columns."""
 
-    return F.filter(findings, lambda f: ~covered(f))
+    def __init__(self, text: str):
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
 
+    def __call__(self, at: int) -> tuple[int, int]:
+        line = bisect_right(self.starts, at)
+        return line, at - self.starts[line - 1] + 1
 
-def regraded(findings: Column, c: Config) -> Column:
-    """Codes within their budget are advisory, and so are hard sentences of an easy document."""
-    rates = dict(zip(BUDGET_CODES, BUDGETS[c.target])) | c.budgets
 
-    def severity(f: Column) -> Column:
-        out = F.when((f["code"] == "NB202") & (F.col("readability") == "normal"), "info")
-        for code, rate in rates.items():
-            allowed = F.greatest(F.lit(2), F.ceil(F.lit(float(rate)) * F.col("n_words") / 1000))
-            out = out.when((f["code"] == code) & (F.size(F.filter(findings, has_code(code))) <= allowed), "info")
-        return out.otherwise(f["severity"])
+def suppressed(original: str) -> dict[int, set[str]]:
+    """Lines that suppress findings, each with the codes it names; none means all."""
+    if not SUPPRESS.search(original):
+        return {}
+    out = {}
+    for n, line in enumerate(original.split("\n"), 1):
+        if m := SUPPRESS.search(line):
+            out[n] = {flat(c).upper() for c in m[1].split(",")} - {""}
+    return out
+
 
-    return F.transform(findings, lambda f: f.withField("severity", severity(f)))
+def quotations(analysis: str, kind: str) -> tuple[Spans, set[tuple[int, int]]]:
+    """(regions of two and more words, inner spans of all quotations)"""
+    found = [m.span() for m in QUOTED.finditer(analysis)]
+    regions = [(s, e) for s, e in found if " " in flat(analysis[s:e])]
+    return Spans(regions), {(s + 1, e - 1) for s, e in found}
+
+
+def quoted_lines(original: str, kind: str) -> Spans:
+    spans = ((m.start(), m.end() - m[0].endswith("\r")) for m in QUOTE_LINES.finditer(original)) if kind == "markdown" else ()
+    return Spans(spans)
+
+
+def settle(found: list[dict], original: str, analysis: str, n_words: int, readability: str, grade: int, c: Config, kind: str) -> tuple[list[dict], dict[str, int]]:
+    """A document's findings after all passes, and counts by category."""
+    at = Lines(original)
+    off = suppressed(original)
+    kept = []
+    for f in found:
+        f["line"], f["col"] = at(f["start"])
+        f["end_line"], f["end_col"] = at(f["end"])
+        codes = off.get(f["line"])
+        if codes is None or codes and f["code"] not in codes:
+            kept.append(f)
+    if kept:
+        regions, mentions = quotations(analysis, kind)
+        lines = quoted_lines(original, kind)
+        span = lambda f: (f["start"], f["end"])
+        kept = [f for f in kept if not regions.contains(*span(f)) and not lines.contains(*span(f)) and span(f) not in mentions]
+        for f in kept:
+            if f["code"] in ("NB201", "NB202") and (regions.overlap(*span(f)) + lines.overlap(*span(f))) * 2 > f["end"] - f["start"]:
+                f["severity"] = "info"
+        winners = {loser: Spans(span(f) for f in kept if f["code"] in codes) for loser, codes in PRECEDENCE.items()}
+        kept = [f for f in kept if f["code"] not in winners or not winners[f["code"]].meets(*span(f))]
+    n = Counter(f["code"] for f in kept)
+    rates = dict(zip(BUDGET_CODES, BUDGETS[c.target])) | c.budgets
+    within = {code for code, rate in rates.items() if n[code] <= max(2, math.ceil(rate * n_words / 1000))}
+    for f in kept:
+        if f["code"] in within or f["code"] == "NB202" and readability == "normal":
+            f["severity"] = "info"
+    if c.max_grade is not None and not c.ignored("NB101") and grade > c.max_grade:
+        values = ("NB101", ENTRIES["NB101"].name, f"grade {grade} is above {c.max_grade}", "error", None, "advisory", "", 0, 0, 1, 1, 1, 1)
+        kept.append(dict(zip(FIELDS, values)))
+    kept.sort(key=lambda f: (f["line"], f["col"], f["code"]))
+    return kept, {name: n[code] for name, code in CATEGORIES.items()}
 
 
 def post_passes(df: DataFrame, c: Config, kind: str) -> DataFrame:
-    """``df`` with ``findings`` settled and ``counts`` by category."""
-    df = df.withColumn("findings", locate(F.col("findings")))
-    df = df.withColumn("findings", suppressed(F.col("findings")))
-    df = df.withColumn("_quotes", T.spans("_analysis", P.QUOTED))
-    regions, mentions = quotations(F.col("_quotes"), kind)
-    df = df.withColumn("_regions", regions).withColumn("_mentions", mentions)
-    df = df.withColumn("findings", unquoted(F.col("findings"))).drop("_quotes", "_regions", "_mentions")
-    df = df.withColumn("findings", by_precedence(F.col("findings")))
-    df = df.withColumn("counts", F.map_from_arrays(F.array(*map(F.lit, CATEGORIES)), F.array(*(F.size(F.filter("findings", has_code(code))) for code in CATEGORIES.values()))))
-    df = df.withColumn("findings", regraded(F.col("findings"), c))
-    if c.max_grade is not None and not c.ignored("NB101"):
-        one, none = F.lit(1), F.lit(None).cast("string")
-        grade = F.struct(F.lit("NB101").alias("code"), F.lit(ENTRIES["NB101"].name).alias("name"), F.concat(F.lit("grade "), F.col("grade").cast("string"), F.lit(f" is above {c.max_grade}")).alias("message"), F.lit("error").alias("severity"), none.alias("suggestion"), F.lit("advisory").alias("applicability"), F.lit("").alias("text"), F.lit(0).alias("start"), F.lit(0).alias("end"), one.alias("line"), one.alias("end_line"), one.alias("col"), one.alias("end_col"))
-        df = df.withColumn("findings", F.when(F.col("grade") > c.max_grade, F.concat("findings", F.array(grade))).otherwise(F.col("findings")))
-    order = F.transform("findings", lambda f, i: F.struct(f["line"].alias("line"), f["col"].alias("col"), f["code"].alias("code"), i.alias("i"), f.alias("f")))
-    return df.withColumn("findings", F.transform(F.array_sort(order, lambda a, b: _compare(a, b, "line", "col", "code", "i")), lambda x: x["f"]))
+    """``df`` with ``findings`` settled and ``counts`` by category: a batch of documents at a time, each in linear time."""
+    schema = StructType([f for f in df.schema.fields if f.name != "findings"])
+    schema = schema.add("findings", _parse_datatype_string(SETTLED)).add("counts", _parse_datatype_string("map<string,int>"))
+    kinds = to_arrow_schema(schema, prefers_large_types=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = {name: batch.column(name) for name in batch.schema.names}
+            read = [of[x].to_pylist() for x in ("findings", "_original", "_analysis", "n_words", "readability", "grade")]
+            done = [settle(*row, c, kind) for row in zip(*read)]
+            of["findings"] = pa.array([f for f, _ in done], kinds.field("findings").type)
+            of["counts"] = pa.array([list(n.items()) for _, n in done], kinds.field("counts").type)
+            yield pa.RecordBatch.from_arrays([of[name] for name in schema.names], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def _compare(a: Column, b: Column, *keys: str) -> Column:

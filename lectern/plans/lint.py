@@ -41,8 +41,9 @@ def analyze(df: DataFrame, config: Config | None = None, text: str = "text", kin
         df = df.withColumn("_delta", burrows_delta(c.style, F.col("_analysis"), F.col("n_words")))
     built = [rule(c) for group, rule in RULES.items() if codes & set(group) and not (group == ("NB309",) and c.norms is None)]
     df = df.withColumn("findings", F.concat(*(F.coalesce(x, F.array()).cast(FINDING) for x in built)) if built else F.array().cast(FINDING))
-    df = post_passes(df, c, kind).withColumn("backend", F.lit(c.backend)).withColumn("reading_time_secs", F.col("n_words") / F.lit(250.0) * F.lit(60.0))
-    return df.drop("_hits", "_flat", "_delta", "_marks", "_kind", "sentences")
+    df = df.drop("_hits", "_flat", "_delta", "_marks", "_kind", "sentences", "_paras")
+    df = post_passes(df, c, kind).withColumn("_paras", T.paragraphs(F.col("_analysis"))).withColumn("backend", F.lit(c.backend)).withColumn("reading_time_secs", F.col("n_words") / F.lit(250.0) * F.lit(60.0))
+    return df
 
 
 def _rows(df: DataFrame, array: str) -> DataFrame:
@@ -98,7 +99,7 @@ def score(analyzed: DataFrame, id: str = "doc_id") -> DataFrame:
     """Likeness to machine writing, 0 to 100, and its parts; null for texts too short. Needs the NB5 rules and all statistics."""
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     half_even = lambda x: F.bround(x).cast("int")
-    two = lambda c: F.round(F.col(c), 2)
+    two = lambda c: T.rounded(F.col(c), 2)
     five = F.filter("findings", lambda f: f["code"].startswith("NB5"))
     tells = F.size(F.filter(five, lambda f: ~f["code"].isin(*DOCUMENT_LEVEL, *TOOL_MARKS)))
     marks = F.size(F.filter(five, lambda f: f["code"].isin(*TOOL_MARKS)))
@@ -145,7 +146,7 @@ def json_reports(analyzed: DataFrame) -> DataFrame:
     keep = ("grade", "readability", "n_words", "n_sentences", "burstiness", "seg_burstiness", "mattr", "temporal_ratio", "reading_time_secs", "counts")
     short = {"n_words": "words", "n_sentences": "sentences"}
     digits = {"burstiness": 2, "seg_burstiness": 2, "mattr": 2, "temporal_ratio": 2, "reading_time_secs": 1}
-    summary = F.struct(*((F.round(k, digits[k]) if k in digits else F.col(k)).alias(short.get(k, k)) for k in keep if k in analyzed.columns))
+    summary = F.struct(*((T.rounded(F.col(k), digits[k]) if k in digits else F.col(k)).alias(short.get(k, k)) for k in keep if k in analyzed.columns))
     fields = ("code", "name", "message", "severity", "line", "col", "end_line", "end_col", "suggestion", "applicability", "text")
     found = F.transform("findings", lambda f: F.struct(*(f[k].alias(k) for k in fields)))
     return analyzed.select("name", F.to_json(F.struct(F.col("name").alias("path"), summary.alias("summary"), found.alias("diagnostics")), {"ignoreNullFields": "false"}).alias("value"))

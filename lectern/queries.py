@@ -22,6 +22,7 @@ from lectern.operators.registry import ENTRIES
 from lectern.operators.registry import rules as catalogue
 from lectern.operators.stats import document_stats, measure, with_vocabulary
 from lectern.plans import lint
+from lectern.sources.documents import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,7 +40,7 @@ def query(sql: str | None = None):
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents, as the rules are English; the filter and two columns reach the scan."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", "text"))
 
 
 def q(s: str) -> str:
@@ -273,7 +274,7 @@ def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pages_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return lint.findings(lint.analyze(pages, Config(), text="html", kind="html", name="url", id="page_id"), id="page_id")
 
 

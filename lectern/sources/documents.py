@@ -26,6 +26,13 @@ def read_files(spark: SparkSession, path: str, every_suffix: bool = False) -> Da
     return df.select(F.xxhash64("name").alias("doc_id"), "name", kind_of(F.col("name")).alias("kind"), "text")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, if a scan gives fewer: rules are narrow, so a file of one row group would
+    keep one core busy. Texts move once; a scan of many splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def from_text(spark: SparkSession, text: str, name: str = "-") -> DataFrame:
     """One document from memory, its kind by the name."""
     return spark.createDataFrame([(0, name, text)], "doc_id bigint, name string, text string").withColumn("kind", kind_of(F.col("name")))
