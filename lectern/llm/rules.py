@@ -367,7 +367,8 @@ def quality_rules(df: DataFrame, id: str = "doc_id", text: str = "text", groups:
     found = found.select(*_sql("grp", "n", *(f"c{i}" for i in range(P)), *(f"v{i}_{j} * {CONSISTENCY}D AS v{i}_{j}" for i, j in PAIRS)))
     sites = table(stats.select(levels[2].alias("grp"), levels[1].alias("up")).distinct(), "sites")
     whole = found.where("grp = 'all'").withColumn("m", F.col("n").cast("double"))
-    langs = sites.select(F.col("up").alias("grp"), F.lit("all").alias("up")).distinct()
+    # not a constant for the optimizer, which would make a join without a key of it
+    langs = sites.select(F.col("up").alias("grp"), F.concat(F.lit("all"), F.substring("up", 1, 0)).alias("up")).distinct()
     langs = table(_shrunk(langs.join(found, "grp", "left"), whole), "languages")
     sites = _shrunk(sites.join(found, "grp", "left"), langs)
     sites = with_inverse(sites).mapInPandas(_cutoffs(log_tail), "grp string, m double, " + ", ".join(f"c{i} double" for i in range(P)) + ", " + ", ".join(f"a{i}_{j} double" for i, j in PAIRS) + ", cutoff double")
