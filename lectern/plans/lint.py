@@ -6,7 +6,7 @@ functions project that row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.config import Config
@@ -39,13 +39,31 @@ def analyze(df: DataFrame, config: Config | None = None, text: str = "text", kin
         df = df.withColumn("_flat", flat_runs(F.transform(F.filter("sentences", lambda s: s["words"] > 0), lambda s: s["words"])))
     if "NB704" in codes and c.style and c.style.get("delta"):
         df = df.withColumn("_delta", burrows_delta(c.style, F.col("_analysis"), F.col("n_words")))
-    built = [rule(c) for group, rule in RULES.items() if codes & set(group) and not (group == ("NB309",) and c.norms is None)]
+    built = _rules_of(df.sparkSession, c)
     df = df.withColumn("findings", F.concat(*(F.coalesce(x, F.array()).cast(FINDING) for x in built)) if built else F.array().cast(FINDING))
     df = df.drop("_hits", "_flat", "_delta", "_marks", "_kind", "sentences", "_paras")
     df = post_passes(df, c, kind).withColumn("_paras", T.paragraphs(F.col("_analysis"))).withColumn("backend", F.lit(c.backend)).withColumn("reading_time_secs", F.col("n_words") / F.lit(250.0) * F.lit(60.0))
     return df
 
 
+_built: dict[tuple, list[Column]] = {}
+
+
+def _rules_of(spark: SparkSession, c: Config) -> list[Column]:
+    """The expressions of all enabled rules. Fifty rules are thousands of calls to the JVM, so they are made once for equal
+    settings, and without noting the Python line of every part."""
+    key = (id(spark._jvm), repr(c))
+    if key not in _built:
+        codes = c.reported()
+        noted = spark.conf.get("spark.sql.dataFrameQueryContext.enabled", "true")
+        spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
+        try:
+            _built[key] = [rule(c) for group, rule in RULES.items() if codes & set(group) and not (group == ("NB309",) and c.norms is None)]
+        finally:
+            spark.conf.set("spark.sql.dataFrameQueryContext.enabled", noted)
+    return _built[key]
+
+
 def _rows(df: DataFrame, array: str) -> DataFrame:
     """A row for each struct of an array, and one of nulls for none.
 
