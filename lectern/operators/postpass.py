@@ -21,6 +21,7 @@ from lectern.config import Config
 from lectern.functions import text as T
 from lectern.functions.tables import BUDGET_CODES, BUDGETS, PRECEDENCE
 from lectern.operators import patterns as P
+from lectern.operators.parsed import STATISTICS, parsed
 from lectern.operators.registry import ENTRIES
 
 CATEGORIES = {"adverbs": "NB301", "complexWords": "NB401", "hardSentences": "NB202", "passiveVoices": "NB302", "qualifiers": "NB303", "veryHardSentences": "NB201"}
@@ -133,15 +134,25 @@ def settle(found: list[dict], original: str, analysis: str, n_words: int, readab
 
 
 def post_passes(df: DataFrame, c: Config, kind: str) -> DataFrame:
-    """``df`` with ``findings`` settled and ``counts`` by category: a batch of documents at a time, each in linear time."""
-    schema = StructType([f for f in df.schema.fields if f.name != "findings"])
+    """``df`` with ``findings`` settled and ``counts`` by category: a batch of documents at a time, each in linear time.
+
+    With a column ``_tokens``, findings of the rules that read a parse join the others, and its statistics are added.
+    """
+    parse, codes = "_tokens" in df.columns, c.reported()
+    schema = StructType([f for f in df.schema.fields if f.name not in ("findings", "_tokens")])
     schema = schema.add("findings", _parse_datatype_string(SETTLED)).add("counts", _parse_datatype_string("map<string,int>"))
+    for name in STATISTICS if parse else ():
+        schema = schema.add(name, "double")
     kinds = to_arrow_schema(schema, prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = {name: batch.column(name) for name in batch.schema.names}
             read = [of[x].to_pylist() for x in ("findings", "_original", "_analysis", "n_words", "readability", "grade")]
+            if parse:
+                told = [parsed(text, t or [], codes, original, kind, c.ratings) for t, original, text in zip(of["_tokens"].to_pylist(), read[1], read[2])]
+                read[0] = [[*f, *more] for f, (more, _) in zip(read[0], told)]
+                of |= {name: pa.array([n[name] for _, n in told], pa.float64()) for name in STATISTICS}
             done = [settle(*row, c, kind) for row in zip(*read)]
             of["findings"] = pa.array([f for f, _ in done], kinds.field("findings").type)
             of["counts"] = pa.array([list(n.items()) for _, n in done], kinds.field("counts").type)

@@ -14,20 +14,25 @@ from lectern.functions import text as T
 from lectern.functions.lexicon import flat_runs, hits
 from lectern.operators import patterns as P
 from lectern.operators.markup import blank_markup
+from lectern.operators.parsed import TOKENS
 from lectern.operators.postpass import SEVERITIES, _compare, post_passes
 from lectern.operators.rules import FINDING, LISTS, NEEDS_FLAT, NEEDS_VOCABULARY, RULES, burrows_delta
 from lectern.operators.stats import measure, with_vocabulary
 
 
-def analyze(df: DataFrame, config: Config | None = None, text: str = "text", kind: str = "text", name: str | None = None, id: str = "doc_id", all_stats: bool = False) -> DataFrame:
+def analyze(df: DataFrame, config: Config | None = None, text: str = "text", kind: str = "text", name: str | None = None, id: str = "doc_id", all_stats: bool = False, tokens: str | None = None) -> DataFrame:
     """One row for each row of ``df``: id, ``name``, the statistics, ``counts``, ``findings`` and ``backend``.
 
+    ``tokens`` names a column with the parse of each text (``parsed.TOKENS``); the rules and statistics that need one run then.
+    Other columns of ``df`` are dropped, whatever their names; repeated rows repeat their result; ids may be null; an empty
+    table gives an empty result.
+
     ``kind`` is text, markdown or html. Only what the enabled rules read is prepared. A null text is an empty one.
     """
     c = config or Config()
     codes = c.reported()
     shown = F.col(name).cast("string") if name else F.col(id).cast("string")
-    df = df.select(F.col(id), shown.alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_original"), F.lit(kind).alias("_kind"))
+    df = df.select(F.col(id), shown.alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_original"), F.lit(kind).alias("_kind"), *([F.col(tokens).cast(TOKENS).alias("_tokens")] if tokens else []))
     df = blank_markup(df, kind, "_original")
     df = measure(df, "_analysis", c.target)
     if all_stats or codes & NEEDS_VOCABULARY:

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from lectern import golden
 from lectern.config import Config
-from lectern.fixtures import TEXTS
+from lectern.fixtures import PARSED, PARSED_FINDINGS, PARSED_STATISTICS, RATINGS, TEXTS
 from lectern.functions import text as T
 from lectern.functions.tables import ADDITIVE, CONNECTORS, TEMPORAL, lexicon, phrases
 from lectern.operators import patterns as P
 from lectern.operators import profile as profiles
 from lectern.operators.markup import blank_markup
+from lectern.operators.parsed import STATISTICS
+from lectern.operators.parsed import TOKENS as PARSE
 from lectern.operators.registry import ENTRIES
 from lectern.operators.registry import rules as catalogue
 from lectern.operators.stats import document_stats, measure, with_vocabulary
@@ -314,3 +316,86 @@ def _golden() -> str:
 @query(_golden() if golden.FINDINGS else None)
 def fixture_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture_findings(spark)
+
+
+# -- fixtures: small texts of our own, and what they hold by the rules' definitions
+
+
+def rows_sql(columns: str, rows: list[tuple]) -> str:
+    """Rows as SQL, with the columns named and typed as in a schema."""
+    kinds = [c.strip().split(" ") for c in columns.split(",")]
+    cell = lambda v, kind: f"CAST({'NULL' if v is None else q(v) if isinstance(v, str) else v} AS {kind})"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(cell(v, k) for v, (_, k) in zip(r, kinds)) + ")" for r in rows) + f") AS t({', '.join(n for n, _ in kinds)})"
+
+
+def fixture(name: str, columns: str, rows: list[tuple]):
+    def add(f):
+        f.__name__ = name
+        return query(rows_sql(columns, rows))(f)
+
+    return add
+
+
+PARSE_CODES = ("NB203", "NB304", "NB305", "NB310", "NB314", "NB507", "NB518", "NB525", "NB526", "NB530", "NB601")
+
+
+def parsed_fixtures(spark: SparkSession, kind: str) -> DataFrame:
+    df = spark.createDataFrame(PARSED, f"doc_id bigint, kind string, text string, tokens {PARSE}").coalesce(1).where(F.col("kind") == kind)
+    return lint.analyze(df, Config(select=PARSE_CODES, ratings=RATINGS), kind=kind, tokens="tokens")
+
+
+@fixture("parsed_rules", "doc_id bigint, code varchar, severity varchar, start integer, end_ integer, suggestion varchar", PARSED_FINDINGS)
+def parsed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [lint.findings(parsed_fixtures(spark, kind)) for kind in ("text", "markdown")]
+    return both[0].unionByName(both[1]).select("doc_id", "code", "severity", "start", F.col("end").alias("end_"), "suggestion")
+
+
+@fixture("parsed_statistics", "doc_id bigint, nominal_density double, pronoun_density double, paragraph_cohesion double, dependency_distance double, formality double, modifier_density double", PARSED_STATISTICS)
+def parsed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.stats(parsed_fixtures(spark, "text")).where("doc_id IN (1, 2, 12)").select("doc_id", *STATISTICS)
+
+
+FOUND = "doc_id bigint, code varchar, severity varchar, start integer, end_ integer"
+
+
+def found(spark: SparkSession, texts: list[str], config: Config, kind: str = "text") -> DataFrame:
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string").coalesce(1)
+    return lint.findings(lint.analyze(df, config, kind=kind)).select("doc_id", "code", "severity", "start", F.col("end").alias("end_"))
+
+
+@fixture("budget_regrade", FOUND, [(1, "NB401", "info", 3, 10), (1, "NB401", "info", 20, 27), *((2, "NB401", "warning", a, a + 7) for a in (3, 20, 36))])
+def budget_regrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two findings of a code with a budget are within it in a short text, three are not."""
+    return found(spark, ["We utilize it. They utilize it.", "We utilize it. They utilize it. You utilize it."], Config(select=("NB401",)))
+
+
+@fixture("quoted_drop_fixture", FOUND, [(2, "NB401", "info", 0, 7), (3, "NB401", "info", 43, 50)])
+def quoted_drop_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in a quotation of several words goes, and what is mentioned by itself; the rest stays."""
+    return found(spark, ['He said "we utilize the tools" and left.', "Utilize it. He said no.", 'The word "utilize" is long, and so we must utilize it.'], Config(select=("NB401",)))
+
+
+@fixture("suppressed_lines", FOUND, [(1, "NB401", "info", 40, 47), (2, "NB306", "warning", 0, 7), (3, "NB401", "info", 3, 10)])
+def suppressed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A marker suppresses the codes it names on its line, or all; other lines and codes stay."""
+    return found(spark, ["We utilize it. lectern: ignore\nThere we utilize it.", "The the we utilize. lectern: ignore NB401", "We utilize it.\nlectern: ignore"], Config(select=("NB401", "NB306")))
+
+
+@fixture("hidden_chars_fixture", FOUND, [(1, "NB317", "warning", 4, 5), (2, "NB317", "warning", 0, 3)])
+def hidden_chars_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A character of no width inside a word, and a look-alike between two letters of another alphabet."""
+    return found(spark, ["zero\u200bwidth", "p\u0430ypal is plain"], Config(select=("NB317",)))
+
+
+@fixture("image_alt_fixture", FOUND, [(1, "NB311", "info", 0, 12)])
+def image_alt_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images without a description."""
+    return found(spark, ["![](one.png) and ![a chart](two.png)"], Config(select=("NB311",)), "markdown")
+
+
+@fixture("hotspots_topk", "doc_id bigint, rank integer, line integer, issues integer, weight double, density double", [(1, 1, 3, 3, 6.0, 24.0), (1, 2, 1, 1, 2.0, 8.0)])
+def hotspots_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of findings a hundred words of a paragraph, of which a short one counts as twenty-five."""
+    text = "Again we utilize it here.\n\nWe utilize it. They utilize it. You utilize it.\n\nNothing is wrong with this one."
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string").coalesce(1)
+    return lint.hotspots(lint.analyze(df, Config(select=("NB401",)))).select("doc_id", "rank", "line", "issues", "weight", "density")
