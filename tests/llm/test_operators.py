@@ -219,6 +219,55 @@ def test_rules(spark, docs, nothing):
     assert quality_rules(nothing).count() == 0
 
 
+def test_least_determinant_against_brute_force(spark):
+    """Sixty rows and fourteen outliers: as small a determinant as the best of many random starts, and its exact support."""
+    import math
+
+    import numpy as np
+
+    from lectern.llm import rules as R
+
+    x = np.random.default_rng(4)
+    mix = np.eye(R.P) + 0.3 * x.normal(size=(R.P, R.P))
+    data = x.normal(size=(60, R.P)) @ mix
+    data[:14] = data[:14] * 0.3 + 9
+    whole = np.round(data * R.SCALE).astype(int)
+    rows = spark.createDataFrame([("g", *map(int, v)) for v in whole] + [("one", *[5] * R.P)], "grp string, " + ", ".join(f"{c} int" for c in R.STATS))
+    found = {r["grp"]: r for r in R.minimum_covariance(rows).collect()}
+    data, h = whole / R.SCALE, math.ceil(R.SUPPORT * 60)
+
+    def fit(pick):
+        c = data[pick].mean(0)
+        return c, (data[pick] - c).T @ (data[pick] - c) / len(pick) + np.eye(R.P) * R.FLOOR**2
+
+    best = math.inf
+    for _ in range(500):
+        pick = x.choice(60, R.P + 1, replace=False)
+        for _ in range(30):
+            c, s = fit(pick)
+            d = np.einsum("ni,ij,nj->n", data - c, np.linalg.inv(s), data - c)
+            pick = np.argsort(d)[:h]
+        best = min(best, np.linalg.slogdet(fit(pick)[1])[1])
+    got = np.zeros((R.P, R.P))
+    for i, j in R.PAIRS:
+        got[i, j] = got[j, i] = found["g"][f"v{i}_{j}"]
+    assert np.linalg.slogdet(got)[1] < best + 0.02 and found["g"]["n"] == 60
+    c = np.array([found["g"][f"c{i}"] for i in range(R.P)])
+    d = np.einsum("ni,ij,nj->n", data - c, np.linalg.inv(got), data - c)
+    assert np.allclose(fit(np.argsort(d)[:h])[0], c, atol=0.05) and np.abs(c).max() < 1.5
+    assert found["one"]["n"] == 1 and abs(found["one"]["c0"] - 5 / R.SCALE) < 1e-9
+
+
+def test_chi_square():
+    """Against the closed form for two coordinates, and known quantiles."""
+    import math
+
+    from lectern.llm.rules import chi2_quantile, chi2_tail
+
+    assert all(abs(chi2_tail(x, 2) + x / 2) < 1e-9 for x in (0.1, 1.0, 5.0, 60.0, 300.0))
+    assert abs(chi2_quantile(math.log(0.05), 7) - 14.067) < 1e-3 and abs(chi2_quantile(math.log(0.025), 1) - 5.0239) < 1e-3
+
+
 def test_rules_reject_outliers(spark):
     from lectern.llm.rules import quality_rules
 
@@ -579,6 +628,48 @@ def test_classifier(spark, docs, nothing):
     assert classify(nothing, labels).count() == 0
 
 
+def test_posteriors_against_plain_sums(spark):
+    """Host and path posteriors and scores, from the evidence that is returned with them."""
+    import math
+
+    from lectern.llm.classifier import UNIT, WEIGHT, classify
+
+    x = random.Random(6)
+    data = [(i, ". ".join(prose(12, i * 50 + j).capitalize() for j in range(6)) if i % 4 else " ".join(w + "###" for w in prose(60, i).split()), x.choice(["en", "de", None]), x.choice(["h0", "h1", "h2", None])) for i in range(160)]
+    labels = [(i, int(i % 4 > 0)) for i in range(0, 160, 3)]
+    got = classify(spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+    site = {i: (host, path) for i, _, path, host in data}
+    part = {r["doc_id"]: round(UNIT / (1 + math.exp(-r["evidence"]))) / UNIT for r in got}
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    mean = sum(part.values()) / len(part)
+
+    def sums(key):
+        out: dict = {}
+        for i, p in part.items():
+            s, n = out.get(key(i), (0.0, 0))
+            out[key(i)] = (s + p, n + 1)
+        return out
+
+    def strength(groups: dict, about) -> float:
+        n = sum(c for _, c in groups.values())
+        m = sum(c * about(k) for k, (_, c) in groups.items()) / n
+        between = sum(c * (s / c - about(k)) ** 2 for k, (s, c) in groups.items()) / n
+        within = sum(s / c * (1 - s / c) for s, c in groups.values()) / n
+        return min(max(m * (1 - m) / max(between - within, 1e-6) - 1, 2.0), 1e4)
+
+    hosts, paths = sums(lambda i: site[i][0]), sums(lambda i: site[i])
+    a = strength(hosts, lambda k: mean)
+    host = {k: (s + a * mean) / (n + a) for k, (s, n) in hosts.items()}
+    b = strength(paths, lambda k: host[k[0]])
+    for r in got:
+        s, n = paths[site[r["doc_id"]]]
+        prior = host[site[r["doc_id"]][0]]
+        others = (s - part[r["doc_id"]] + b * prior) / (n - 1 + b)
+        score = 1 / (1 + math.exp(-(r["evidence"] + WEIGHT * (logit(others) - logit(mean)))))
+        assert abs(r["host_posterior"] - prior) < 1e-6 and abs(r["path_posterior"] - (s + b * prior) / (n + b)) < 1e-6 and abs(r["score"] - score) < 1e-6
+    assert len(got) == len(data)
+
+
 def test_classifier_rejects_toxic(spark):
     from lectern.llm.classifier import classify
 
