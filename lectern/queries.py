@@ -269,7 +269,12 @@ def stats_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.documents_stats_lines(analyzed(spark, sf_dir, all_stats=True))
 
 
-@query()
+DOC_STATS = f"""SELECT g.doc_id, n_sentences, n_words, n_letters, grade, readability, burstiness, seg_burstiness, temporal_ratio, n_alpha, mattr, n_words / CAST(250.0 AS DOUBLE) * CAST(60.0 AS DOUBLE) AS reading_time_secs
+FROM ({ORACLE_SQL["doc_grade"]}) g JOIN ({ORACLE_SQL["rhythm"]}) r USING (doc_id) JOIN ({ORACLE_SQL["vocabulary"]}) v USING (doc_id)
+JOIN (SELECT doc_id, len(list_filter(regexp_extract_all(text, {q(T.WORD)}), lambda x: regexp_full_match(x, '\\p{{L}}+')))::INT AS n_alpha FROM documents WHERE lang = 'en') a USING (doc_id)"""
+
+
+@query(DOC_STATS)
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_stats(english(spark, sf_dir))
 
@@ -358,9 +363,9 @@ def parsed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOUND = "doc_id bigint, code varchar, severity varchar, start integer, end_ integer"
 
 
-def found(spark: SparkSession, texts: list[str], config: Config, kind: str = "text") -> DataFrame:
-    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string").coalesce(1)
-    return lint.findings(lint.analyze(df, config, kind=kind)).select("doc_id", "code", "severity", "start", F.col("end").alias("end_"))
+def found(spark: SparkSession, texts: list[str], config: Config, kind: str = "text", name: str = "a") -> DataFrame:
+    df = spark.createDataFrame([(i, t, name) for i, t in enumerate(texts, 1)], "doc_id bigint, text string, path string").coalesce(1)
+    return lint.findings(lint.analyze(df, config, kind=kind, name="path", all_stats=True)).select("doc_id", "code", "severity", "start", F.col("end").alias("end_"))
 
 
 @fixture("budget_regrade", FOUND, [(1, "NB401", "info", 3, 10), (1, "NB401", "info", 20, 27), *((2, "NB401", "warning", a, a + 7) for a in (3, 20, 36))])
@@ -399,3 +404,54 @@ def hotspots_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "Again we utilize it here.\n\nWe utilize it. They utilize it. You utilize it.\n\nNothing is wrong with this one."
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string").coalesce(1)
     return lint.hotspots(lint.analyze(df, Config(select=("NB401",)))).select("doc_id", "rank", "line", "issues", "weight", "density")
+
+
+@fixture("acronym_first_use", FOUND, [(1, "NB309", "info", 4, 7)])
+def acronym_first_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first use of what nothing expands; an expansion in brackets does, and so does a name of the user's."""
+    return found(spark, ["The QPX runs. The QPX stops. The Zed Red Unit (ZRU) waits. ZRU helps. XWV is known."], Config(select=("NB309",), norms=frozenset({"the"}), known_acronyms=("XWV",)))
+
+
+@fixture("negation_contrast_fixture", FOUND, [(1, "NB501", "warning", 0, 20), (2, "NB501", "warning", 0, 17)])
+def negation_contrast_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One thing denied for another; a plain denial is none."""
+    return found(spark, ["It's not a bug, it's a feature.", "Not only fast but cheap.", "This is not the end."], Config(select=("NB501",)))
+
+
+@fixture("span_precedence", FOUND, [(1, "NB510", "info", 6, 12), (2, "NB301", "info", 3, 10)])
+def span_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An adverb that is a weak intensifier is told once, as that."""
+    return found(spark, ["It is really good.", "He quickly ran."], Config(select=("NB301", "NB510")))
+
+
+PARAGRAPH = "The long first sentence of this paragraph goes on for quite a few words. It ends here."
+NARROW = "red blue green grey pink " * 26
+
+
+@fixture("document_tells", FOUND, [(1, "NB527", "info", 0, 0), (1, "NB528", "warning", 0, 0), (1, "NB529", "info", 73, 86), (2, "NB528", "warning", 0, 0)])
+def document_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of like length, paragraphs that end on a punchline, and few different words."""
+    return found(spark, ["\n\n".join([PARAGRAPH] * 8), NARROW, "Few words are no sign."], Config(select=("NB527", "NB528", "NB529")))
+
+
+@fixture("readme_and_grade", FOUND, [(1, "NB801", "warning", 0, 0), (1, "NB101", "error", 0, 0), (2, "NB101", "error", 0, 0)])
+def readme_and_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A README without a line that says what it is for, and a limit on the grade."""
+    texts = ["# Title\n\n## Installation\n\nUnderstand prerequisites.\n", "# Title\n\nA small library that establishes interoperability between considerations.\n"]
+    return found(spark, texts, Config(select=("NB801",), max_grade=3), "markdown", "docs/README.md")
+
+
+@fixture("report_fixture", "doc integer, value varchar", [(1, "a:1:1: NB306 repeated word 'The the' → The"), (2, "::warning file=a,line=1,col=1::NB306 repeated word 'The the'%0A→ The")])
+def report_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding as a line of a report and as an annotation of a workflow."""
+    df = spark.createDataFrame([(1, "The the cat.", "a")], "doc_id bigint, text string, path string").coalesce(1)
+    rows = lint.findings(lint.analyze(df, Config(select=("NB306",)), name="path"))
+    lines = lint.report_lines(rows).select(F.lit(1).alias("doc"), "value")
+    return lines.unionByName(lint.workflow_lines(rows).select(F.lit(2).alias("doc"), "value"))
+
+
+@fixture("listed_tells", FOUND, [(1, "NB316", "warning", 0, 25), (2, "NB517", "info", 2, 12), (2, "NB517", "info", 17, 26), (4, "NB505", "info", 0, 12), (5, "NB504", "warning", 0, 9)])
+def listed_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A claim of nobody's, generic praise in company and alone, a transition, and filler."""
+    texts = ["Conventional wisdom holds that it is fine.", "A compelling and effective plan.", "One compelling plan.", "Additionally, it works.", "Full stop and then some."]
+    return found(spark, texts, Config(select=("NB316", "NB517", "NB505", "NB504")))
