@@ -13,6 +13,7 @@ when its squared distance is beyond a chi-square quantile that is corrected for
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.store import table
-from lectern.llm.textbytes import Words, chunks, distinct_spans, grams, mix, per_row
+from lectern.llm.textbytes import Words, chunks, distinct_spans, grams, mix, per_row, release
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -137,6 +138,7 @@ def base_statistics(df: DataFrame, id: str = "doc_id", text: str = "text", group
                 m = measure(b, o)
                 failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), *(pa.array(m[c], pa.int64()) for c in BASE), pa.array(failed), *(pa.array(m[c], pa.int32()) for c in STATS)], names=["_id", "lang", "source", *BASE, "base_failed", *STATS])
+        release()
 
     kind = df.schema[id].dataType.simpleString()
     schema = f"_id {kind}, lang string, source string, {', '.join(f'{c} bigint' for c in BASE)}, base_failed boolean, {', '.join(f'{c} int' for c in STATS)}"
@@ -348,20 +350,16 @@ def _cutoffs(log_tail: float):
     return run
 
 
-def quality_rules(df: DataFrame, id: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source"), log_tail: float = LOG_TAIL) -> DataFrame:
-    """One row for each row of ``df``: id, ``n_words``, the four other base counts, ``base_failed``, ``kept``, ``distance``
-    (squared) and ``cutoff``.
-
-    A null or empty text has no words and fails the base rules. Null languages or sources are groups of their own. Every
-    group (language, source) has its own estimate from the texts that pass the base rules, drawn towards its language's,
-    and that towards the estimate of all, so that a group of one text is judged too. ``log_tail`` is the logarithm of the
-    chance that a text of a Gaussian group lies beyond the cutoff. Repeated rows count each; ids may be null or repeat. Where
-    no text passes the base rules, distance and cutoff are null; an empty table gives an empty result.
-    """
-    stats = table(base_statistics(df, id, text, groups), "statistics")
+def _levels(lang: str = "lang", source: str = "source") -> tuple[Column, Column, Column]:
+    """The groups a text belongs to: all, its language, its language and source."""
     # a null and the string that stands for it here never meet: other strings get a mark in front
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    levels = (F.lit("all"), F.concat_ws("\t", F.lit("1"), name("lang")), F.concat_ws("\t", F.lit("2"), name("lang"), name("source")))
+    return (F.lit("all"), F.concat_ws("\t", F.lit("1"), name(lang)), F.concat_ws("\t", F.lit("2"), name(lang), name(source)))
+
+
+def site_estimates(stats: DataFrame, log_tail: float = LOG_TAIL) -> DataFrame:
+    """The estimate and the cutoff of each group of ``base_statistics``."""
+    levels = _levels()
     good = stats.where(~F.col("base_failed"))
     found = minimum_covariance(good.select(F.explode(F.array(*levels)).alias("grp"), *STATS))
     found = found.select(*_sql("grp", "n", *(f"c{i}" for i in range(P)), *(f"v{i}_{j} * {CONSISTENCY}D AS v{i}_{j}" for i, j in PAIRS)))
@@ -372,7 +370,60 @@ def quality_rules(df: DataFrame, id: str = "doc_id", text: str = "text", groups:
     langs = table(_shrunk(langs.join(found, "grp", "left"), whole), "languages")
     sites = _shrunk(sites.join(found, "grp", "left"), langs)
     sites = with_inverse(sites).mapInPandas(_cutoffs(log_tail), "grp string, m double, " + ", ".join(f"c{i} double" for i in range(P)) + ", " + ", ".join(f"a{i}_{j} double" for i, j in PAIRS) + ", cutoff double")
-    sites = table(sites, "cutoffs")
-    out = stats.withColumn("grp", levels[2]).join(sites, "grp", "left").withColumn("distance", F.expr(_distance()))
+    return table(sites, "cutoffs")
+
+
+def kept_rows(df: DataFrame, text: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """The rows of ``df`` that ``quality_rules`` keeps, with all their columns, whatever those are named.
+
+    Each row is judged by what is in it, beside its group's estimate, so ids play no part; texts are measured twice instead
+    of being moved to their verdict. Nulls, repeats and empty tables as there.
+    """
+    none = df.withColumn(own := _unused(df, "_none"), F.lit(0))
+    sites = site_estimates(table(base_statistics(none, own, text, groups), "statistics"))
+    names, at = df.columns, df.columns.index(text)
+    mark = _unused(df, "_measured")
+    inside = ", ".join(("grp: string", "base_failed: boolean", *(f"{c}: int" for c in STATS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, b, o in chunks(batch.column(at)):
+                m = measure(b, o)
+                failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+                found = pa.StructArray.from_arrays([batch.column(len(names)).slice(i, j - i), pa.array(failed), *(pa.array(m[c], pa.int32()) for c in STATS)], names=["grp", "base_failed", *STATS])
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], found], names=[*names, mark])
+        release()
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{mark} struct<{inside}>"])
+    told = df.select("*", _levels(*groups)[2].alias(_unused(df, "_grp"))).mapInArrow(run, schema).where(~F.col(f"{mark}.base_failed"))
+    limits = sites.select(F.col("grp").alias(grp := _unused(df, "_site")), F.struct("cutoff", *(f"c{i}" for i in range(P)), *(f"a{i}_{j}" for i, j in PAIRS)).alias(site := _unused(df, "_estimate")))
+    told = told.join(limits, F.col(f"{mark}.grp") == F.col(grp), "left")
+    far = re.sub(r"\b([ca][0-9]+(?:_[0-9]+)?)\b", rf"{site}.\1", re.sub(r"\b(x_[a-z]+)\b", rf"{mark}.\1", _distance()))
+    outlier = F.coalesce(F.expr(far) > F.col(f"{site}.cutoff"), F.lit(False))
+    return told.where(~outlier).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def quality_rules(df: DataFrame, id: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source"), log_tail: float = LOG_TAIL) -> DataFrame:
+    """One row for each row of ``df``: id, ``n_words``, the four other base counts, ``base_failed``, ``kept``, ``distance``
+    (squared) and ``cutoff``.
+
+    A null or empty text has no words and fails the base rules. Null languages or sources are groups of their own. Every
+    group (language, source) has its own estimate from the texts that pass the base rules, drawn towards its language's,
+    and that towards the estimate of all, so that a group of one text is judged too. ``log_tail`` is the logarithm of the
+    chance that a text of a Gaussian group lies beyond the cutoff. Repeated rows count each; ids may be null or repeat. Where
+    no text passes the base rules, distance and cutoff are null; an empty table gives an empty result.
+    """
+    stats = table(base_statistics(df, id, text, groups), "statistics")
+    sites = site_estimates(stats, log_tail)
+    out = stats.withColumn("grp", _levels()[2]).join(sites, "grp", "left").withColumn("distance", F.expr(_distance()))
     outlier = F.coalesce(F.col("distance") > F.col("cutoff"), F.lit(False))
     return out.select(F.col("_id").alias(id), *BASE, "base_failed", (~F.col("base_failed") & ~outlier).alias("kept"), "distance", "cutoff")

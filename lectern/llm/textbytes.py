@@ -6,6 +6,7 @@ byte-wise splitting equals splitting by code point.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -170,6 +171,15 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         i = j
 
 
+def release() -> None:
+    """Gives memory that long texts took back to the system: a worker of Python stays when its task has ended."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over ``first[d]:first[d+1]``."""
     total = np.zeros(len(values) + 1, np.int64)
