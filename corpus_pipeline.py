@@ -15,7 +15,7 @@ from lectern.llm.bpe import encode
 from lectern.llm.exact import exact_dedup
 from lectern.llm.mixing import mix
 from lectern.llm.near import near_duplicates
-from lectern.llm.rules import quality_rules
+from lectern.llm.rules import kept_rows
 from lectern.llm.store import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -45,8 +45,7 @@ def _keyed(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
-    keyed, key = _keyed(docs, "lang", "source")
-    return _with(keyed, quality_rules(keyed, id=key).where("kept").select(key), "left_semi", key).drop(key)
+    return kept_rows(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
