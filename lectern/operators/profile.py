@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.reading import told
 from lectern.functions.tables import CONNECTORS
 from lectern.operators.rules import MARKS, count_of
-from lectern.operators.stats import measure
 
 FUNCTION_WORDS = tuple(
     sorted(
@@ -36,17 +36,15 @@ def _top(counts: DataFrame, key: str, rate: Column, limit: int, name: str) -> Da
     return kept.groupBy("author").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col(key).alias("k"), rate.alias("v")))), lambda x: F.struct(x["k"], x["v"]))).alias(name))
 
 
-def prepare(df: DataFrame, text: str, author: Column, id: str) -> DataFrame:
-    """A row a document with its sentences, words and their counts."""
-    df = df.select(author.alias("author"), F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    df = measure(df, "_text").withColumn("words", F.transform(T.words(F.col("_text")), F.lower))
-    return df.withColumn("lengths", F.filter(F.transform("sentences", lambda s: s["words"]), lambda n: n > 0)).withColumn("segments", F.flatten(F.transform("sentences", lambda s: T.segments(s["text"])))).withColumn("openings", F.transform(F.filter("sentences", lambda s: s["words"] > 0), lambda s: F.transform(F.slice(T.words(s["text"]), 1, 2), F.lower))).withColumn("paras", _sentences_of_paragraphs())
+#: columns that go by another name in ``reading``
+READS = {"words": "lowered"}
 
 
-def _sentences_of_paragraphs() -> Column:
-    some = F.filter("sentences", lambda s: s["words"] > 0)
-    touching = lambda p: F.transform(F.filter(some, lambda s: (s["start"] < p["end"]) & (p["start"] < s["end"])), lambda s: s["words"])
-    return F.filter(F.transform(T.paragraphs(F.col("_text")), touching), lambda n: F.size(n) > 0)
+def prepare(df: DataFrame, text: str, author: Column, id: str, reads: tuple[str, ...] = ("words", "lengths", "segments", "openings", "paras")) -> DataFrame:
+    """A row a document with what is read of its sentences and words."""
+    df = df.select(author.alias("author"), F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    df = df.withColumn("_told", told(F.col("_text"), tuple(READS.get(x, x) for x in reads)))
+    return df.select("author", "id", "_text", *(F.col(f"_told.{READS.get(x, x)}").alias(x) for x in reads))
 
 
 def _cv(n: str, s: str, q: str) -> Column:
@@ -131,15 +129,17 @@ def delta_stats(docs: DataFrame) -> DataFrame:
 
 def build_profiles(df: DataFrame, text: str = "text", author: str | None = None, id: str = "doc_id") -> DataFrame:
     """One row for each author: corpus, rhythm, punctuation and the maps of rates. Without ``author`` all is one author's."""
-    docs = prepare(df, text, F.col(author) if author else F.lit("all"), id)
-    base = rhythm(docs)
+    # each section reads the documents by itself, and no more of them than it needs
+    of = lambda *reads: prepare(df, text, F.col(author) if author else F.lit("all"), id, reads)
+    words, openings = of("words"), of("openings")
+    base = rhythm(of("words", "lengths", "segments", "openings", "paras"))
     totals = base.select("author", F.col("words").alias("t_words"), F.col("sentences").alias("t_sentences"))
     rate = lambda c, per: F.col("n") * F.lit(1000.0) / F.greatest(F.col(per), F.lit(1))
     joined = lambda counts: counts.join(totals, "author")
     sections = [
-        _top(joined(function_counts(docs)), "word", rate("n", "t_words"), TOP["function_words"], "function_words"), _top(joined(opener_counts(docs)), "word", rate("n", "t_sentences"), TOP["openers"], "openers"),
-        _top(joined(opener_counts(docs, True)), "word", rate("n", "t_sentences"), len(CONNECTORS), "connectors"), _top(joined(bigram_counts(docs)), "word", rate("n", "t_words"), TOP["bigrams"], "bigrams"),
-        delta_stats(docs).groupBy("author").agg(F.max("blocks").alias("delta_blocks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", F.struct("mean", "std"))))).alias("delta")),
+        _top(joined(function_counts(words)), "word", rate("n", "t_words"), TOP["function_words"], "function_words"), _top(joined(opener_counts(openings)), "word", rate("n", "t_sentences"), TOP["openers"], "openers"),
+        _top(joined(opener_counts(openings, True)), "word", rate("n", "t_sentences"), len(CONNECTORS), "connectors"), _top(joined(bigram_counts(words)), "word", rate("n", "t_words"), TOP["bigrams"], "bigrams"),
+        delta_stats(words).groupBy("author").agg(F.max("blocks").alias("delta_blocks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", F.struct("mean", "std"))))).alias("delta")),
     ]
     for s in sections:
         base = base.join(s, "author", "left")

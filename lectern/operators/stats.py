@@ -2,45 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import text as T
-from lectern.functions.diversity import distinct_in_windows, ratio
-from lectern.functions.tables import ADDITIVE, TARGETS, TEMPORAL
+from lectern.functions.reading import MEASURES, VOCABULARY, told
 
 
-def bucket(grade: Column, n_words: Column, target: str = "NORMAL") -> Column:
-    few, hard, very = TARGETS[target]
-    return F.when((n_words < few) | (grade < hard), "normal").when(grade < very, "hard").otherwise("veryHard")
+def _with(df: DataFrame, text: str, names: tuple[str, ...], target: str = "NORMAL") -> DataFrame:
+    df = df.withColumn("_told", told(F.col(text), names, target))
+    return df.select(*(c for c in df.columns if c != "_told" and c not in names), *(F.col(f"_told.{n}").alias(n) for n in names))
 
 
 def measure(df: DataFrame, text: str = "text", target: str = "NORMAL") -> DataFrame:
     """``df`` with ``sentences`` (array), counts, ``grade``, ``readability`` and the rhythm measures. No shuffle."""
-    df = df.withColumn("sentences", F.coalesce(T.sentences(F.col(text)), F.array().cast("array<struct<start:int,end:int,text:string,words:int,letters:int>>")))
-    per = F.filter(F.transform("sentences", lambda s: s["words"]), lambda n: n > 0)
-    df = df.withColumn("n_sentences", F.size("sentences")).withColumn("_lengths", per).withColumn("_segments", F.flatten(F.transform("sentences", lambda s: T.segments(s["text"]))))
-    df = df.withColumn("n_words", T.total(F.col("_lengths"))).withColumn("n_letters", T.total(F.transform("sentences", lambda s: s["letters"])))
-    df = df.withColumn("grade", T.reading_grade(F.col("n_letters"), F.col("n_words"), F.col("n_sentences")))
-    df = df.withColumn("readability", bucket(F.col("grade"), F.col("n_words"), target)).withColumn("burstiness", T.variation(F.col("_lengths"))).withColumn("seg_burstiness", T.variation(F.col("_segments")))
-    return df.drop("_lengths", "_segments")
-
-
-def connective_ratio(tokens: Column) -> Column:
-    """Temporal connectives by temporal and additive ones."""
-    t = F.size(F.filter(tokens, lambda w: w.isin(*TEMPORAL)))
-    a = F.size(F.filter(tokens, lambda w: w.isin(*ADDITIVE)))
-    return F.when(t + a > 0, t.cast("double") / (t + a)).otherwise(F.lit(0.0))
+    return _with(df, text, ("sentences", *MEASURES), target)
 
 
 def with_vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``mattr``, ``n_alpha`` and ``temporal_ratio``."""
-    df = df.withColumn("_alpha", F.coalesce(T.alpha_tokens(F.col(text)), F.array().cast("array<string>")))
-    df = df.withColumn("temporal_ratio", connective_ratio(F.col("_alpha"))).withColumn("n_alpha", F.size("_alpha")).withColumn("_distinct", distinct_in_windows("_alpha"))
-    return df.withColumn("mattr", ratio(F.col("_distinct"))).drop("_alpha", "_distinct")
+    return _with(df, text, VOCABULARY)
 
 
 def document_stats(df: DataFrame, text: str = "text", target: str = "NORMAL") -> DataFrame:
     """The statistics that need no tagger, in full precision, beside the other columns of ``df``; the text is dropped."""
-    out = with_vocabulary(measure(df, text, target), text)
-    return out.withColumn("reading_time_secs", F.col("n_words") / F.lit(250.0) * F.lit(60.0)).drop("sentences", text)
+    return with_seconds(_with(df, text, (*MEASURES, *VOCABULARY), target)).drop(text)
+
+
+def with_seconds(df: DataFrame) -> DataFrame:
+    return df.withColumn("reading_time_secs", F.col("n_words") / F.lit(250.0) * F.lit(60.0))
