@@ -1,4 +1,4 @@
-"""Moving-average type-token ratio in closed form, over Arrow batches.
+"""Moving-average type-token ratio in closed form.
 
 A token is new in a window if it didn't occur in it before. With ``prev`` the place of its last occurrence, the token at
 place p (from 0) is new in min(p, n - w) - max(p - w, prev) windows of the n - w + 1 of width w, where places before the
@@ -8,11 +8,8 @@ built-in count of distinct values over a sliding frame.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 WINDOW = 100
 
@@ -32,21 +29,3 @@ def window_distinct(tokens: np.ndarray, window: int = WINDOW) -> tuple[int, int,
     p = np.arange(n)
     new = np.minimum(p, n - window) - np.maximum(p - window, prev)
     return n, n - window + 1, int(np.maximum(new, 0).sum())
-
-
-def distinct_in_windows(tokens):
-    """``window_distinct`` of an array column, as a struct."""
-
-    @F.pandas_udf("struct<tokens:bigint,windows:bigint,distinct_sum:bigint>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in batches:
-            found = [window_distinct(x if x is not None else np.zeros(0, object)) for x in series]
-            yield pd.DataFrame(found, columns=["tokens", "windows", "distinct_sum"]).astype("int64")
-
-    return run(tokens)
-
-
-def ratio(d):
-    """The ratio of one such struct; 0 where there are no tokens."""
-    width = F.least(d["tokens"], F.lit(WINDOW)).cast("double")
-    return F.when(d["tokens"] > 0, d["distinct_sum"].cast("double") / width / d["windows"].cast("double")).otherwise(F.lit(0.0))

@@ -19,10 +19,12 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from lectern.config import Config
 from lectern.functions import text as T
+from lectern.functions.reading import KINDS, MEASURES, VOCABULARY, Reading, column, slices
 from lectern.functions.tables import BUDGET_CODES, BUDGETS, PRECEDENCE
 from lectern.operators import patterns as P
 from lectern.operators.parsed import STATISTICS, parsed
 from lectern.operators.registry import ENTRIES
+from lectern.operators.rules import Document, found
 
 CATEGORIES = {"adverbs": "NB301", "complexWords": "NB401", "hardSentences": "NB202", "passiveVoices": "NB302", "qualifiers": "NB303", "veryHardSentences": "NB201"}
 SEVERITIES = {"error": 4.0, "warning": 2.0, "info": 1.0}
@@ -99,12 +101,12 @@ def quoted_lines(original: str, kind: str) -> Spans:
     return Spans(spans)
 
 
-def settle(found: list[dict], original: str, analysis: str, n_words: int, readability: str, grade: int, c: Config, kind: str) -> tuple[list[dict], dict[str, int]]:
+def settle(told: list[dict], original: str, analysis: str, n_words: int, readability: str, grade: int, c: Config, kind: str) -> tuple[list[dict], dict[str, int]]:
     """A document's findings after all passes, and counts by category."""
     at = Lines(original)
     off = suppressed(original)
     kept = []
-    for f in found:
+    for f in told:
         f["line"], f["col"] = at(f["start"])
         f["end_line"], f["end_col"] = at(f["end"])
         codes = off.get(f["line"])
@@ -133,36 +135,112 @@ def settle(found: list[dict], original: str, analysis: str, n_words: int, readab
     return kept, {name: n[code] for name, code in CATEGORIES.items()}
 
 
-def post_passes(df: DataFrame, c: Config, kind: str) -> DataFrame:
-    """``df`` with ``findings`` settled and ``counts`` by category: a batch of documents at a time, each in linear time.
+def analyze_rows(df: DataFrame, c: Config, kind: str, vocabulary: bool) -> DataFrame:
+    """``df`` with the statistics of each document, ``findings`` settled and ``counts`` by category: one kernel, a few rows of a
+    batch at a time, each in linear time.
 
-    With a column ``_tokens``, findings of the rules that read a parse join the others, and its statistics are added.
+    It reads ``name``, ``_original`` and, where markup was blanked, ``_analysis`` and ``_marks``. With a column ``_tokens``,
+    findings of the rules that read a parse join the others, and its statistics are added.
     """
-    parse, codes = "_tokens" in df.columns, c.reported()
-    schema = StructType([f for f in df.schema.fields if f.name not in ("findings", "_tokens")])
+    parse, marked, codes = "_tokens" in df.columns, "_marks" in df.columns, frozenset(c.reported())
+    names = (*MEASURES, *(VOCABULARY if vocabulary else ()))
+    schema = StructType([f for f in df.schema.fields if f.name not in ("_marks", "_tokens")])
+    for name in names:
+        schema = schema.add(name, _parse_datatype_string(KINDS[name]))
     schema = schema.add("findings", _parse_datatype_string(SETTLED)).add("counts", _parse_datatype_string("map<string,int>"))
     for name in STATISTICS if parse else ():
         schema = schema.add(name, "double")
     kinds = to_arrow_schema(schema, prefers_large_types=False)
 
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        of = {name: batch.column(name) for name in batch.schema.names}
+        read = lambda name: of[name].to_pylist()
+        original, shown = read("_original"), read("name")
+        analysis, marks = (read("_analysis"), read("_marks")) if marked else (original, [[]] * len(original))
+        docs = [Document(*x, kind, c) for x in zip(original, analysis, marks, shown)]
+        all_found = [found(d, codes) for d in docs]
+        if parse:
+            told = [parsed(d.text, t or [], codes, d.original, kind, c.ratings) for t, d in zip(read("_tokens"), docs)]
+            all_found = [[*f, *more] for f, (more, _) in zip(all_found, told)]
+            of |= {name: pa.array([n[name] for _, n in told], pa.float64()) for name in STATISTICS}
+        done = [settle(f, d.original, d.text, d.n_words, d.readability, d.grade, c, kind) for f, d in zip(all_found, docs)]
+        of |= {name: column(name, docs) for name in names}
+        of["findings"] = pa.array([f for f, _ in done], kinds.field("findings").type)
+        of["counts"] = pa.array([list(n.items()) for _, n in done], kinds.field("counts").type)
+        return pa.RecordBatch.from_arrays([of[name] for name in schema.names], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = {name: batch.column(name) for name in batch.schema.names}
-            read = [of[x].to_pylist() for x in ("findings", "_original", "_analysis", "n_words", "readability", "grade")]
-            if parse:
-                told = [parsed(text, t or [], codes, original, kind, c.ratings) for t, original, text in zip(of["_tokens"].to_pylist(), read[1], read[2])]
-                read[0] = [[*f, *more] for f, (more, _) in zip(read[0], told)]
-                of |= {name: pa.array([n[name] for _, n in told], pa.float64()) for name in STATISTICS}
-            done = [settle(*row, c, kind) for row in zip(*read)]
-            of["findings"] = pa.array([f for f, _ in done], kinds.field("findings").type)
-            of["counts"] = pa.array([list(n.items()) for _, n in done], kinds.field("counts").type)
-            yield pa.RecordBatch.from_arrays([of[name] for name in schema.names], names=schema.names)
+            for rows in slices(batch):
+                yield part(rows)
 
     return df.mapInArrow(run, schema)
 
 
-def _compare(a: Column, b: Column, *keys: str) -> Column:
-    out = F.lit(0)
-    for k in reversed(keys):
-        out = F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(out)
-    return out
+RAW = "array<struct<code:string,message:string,suggestion:string,text:string,start:int,end:int>>"
+
+
+def unsettled(text: Column, codes: tuple[str, ...]) -> Column:
+    """What the rules of some codes find in a plain text, before the passes over findings."""
+    c = Config(select=codes)
+
+    @F.arrow_udf(RAW)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([(k, pa.int32() if k in ("start", "end") else pa.string()) for k in ("code", "message", "suggestion", "text", "start", "end")]))
+        for batch in batches:
+            parts = [pa.array([[{k.name: f[k.name] for k in kind.value_type} for f in found(Document(t or "", t or "", [], None, "text", c), frozenset(codes))] for t in rows.to_pylist()], kind) for rows in slices(batch)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return run(text)
+
+
+# -- hotspots
+
+SPOT = "line int, end_line int, words int, issues int, weight double, density double, codes array<struct<code:string,n:int>>, preview string, rank int"
+
+
+def spots(original: str, analysis: str, findings: list[dict], limit: int) -> list[dict]:
+    """The paragraphs with the most weight of findings a hundred words, worst first."""
+    at, starts, mine = Lines(original), *_in_paragraphs(analysis, findings)
+    out = []
+    for (a, b), found_ in zip(starts, mine):
+        if found_:
+            words, weight = sum(1 for w in SPACES.split(analysis[a:b]) if w), sum((SEVERITIES[f["severity"]] for f in found_), 0.0)
+            shown = flat(original[a:b])
+            n = Counter(f["code"] for f in found_)
+            codes = [{"code": k, "n": v} for k, v in sorted(n.items(), key=lambda x: (-x[1], x[0]))]
+            out.append({"line": at(a)[0], "end_line": at(max(a, b - 1))[0], "words": words, "issues": len(found_), "weight": weight, "density": weight / max(words, 25) * 100, "codes": codes, "preview": shown if len(shown) <= 60 else shown[:59].rstrip(" ") + "…"})
+    out.sort(key=lambda s: (-s["density"], -s["weight"], s["line"]))
+    return [s | {"rank": i} for i, s in enumerate(out[:limit], 1)]
+
+
+def _in_paragraphs(analysis: str, findings: list[dict]) -> tuple[list[tuple[int, int]], list[list[dict]]]:
+    paras = Reading(analysis).paragraphs
+    first, mine = [a for a, _ in paras], [[] for _ in paras]
+    for f in findings:
+        i = bisect_right(first, f["start"]) - 1
+        if i >= 0 and f["start"] < paras[i][1]:
+            mine[i].append(f)
+    return paras, mine
+
+
+def hotspot_rows(df: DataFrame, limit: int) -> DataFrame:
+    """A row for each spot, beside the columns of ``df`` that are not read."""
+    read = ("_original", "_analysis", "findings")
+    kept = [f.name for f in df.schema.fields if f.name not in read]
+    schema = StructType([f for f in df.schema.fields if f.name in kept] + _parse_datatype_string(SPOT).fields)
+    kinds = to_arrow_schema(schema, prefers_large_types=False)
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found_ = [spots(*x, limit) for x in zip(*(batch.column(x).to_pylist() for x in read))]
+        rows = pa.array([i for i, x in enumerate(found_) for _ in x], pa.int32())
+        told = [s for x in found_ for s in x]
+        arrays = [batch.column(k).take(rows) if k in kept else pa.array([s[k] for s in told], kinds.field(k).type) for k in schema.names]
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch):
+                yield part(rows)
+
+    return df.mapInArrow(run, schema)

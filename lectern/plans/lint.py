@@ -6,18 +6,16 @@ functions project that row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.config import Config
 from lectern.functions import text as T
-from lectern.functions.lexicon import flat_runs, hits
-from lectern.operators import patterns as P
 from lectern.operators.markup import blank_markup
 from lectern.operators.parsed import TOKENS
-from lectern.operators.postpass import SEVERITIES, _compare, post_passes
-from lectern.operators.rules import FINDING, LISTS, NEEDS_FLAT, NEEDS_VOCABULARY, RULES, burrows_delta
-from lectern.operators.stats import measure, with_vocabulary
+from lectern.operators.postpass import analyze_rows, hotspot_rows
+from lectern.operators.rules import NEEDS_VOCABULARY
+from lectern.operators.stats import with_seconds
 
 
 def analyze(df: DataFrame, config: Config | None = None, text: str = "text", kind: str = "text", name: str | None = None, id: str = "doc_id", all_stats: bool = False, tokens: str | None = None) -> DataFrame:
@@ -27,46 +25,16 @@ def analyze(df: DataFrame, config: Config | None = None, text: str = "text", kin
     Other columns of ``df`` are dropped, whatever their names; repeated rows repeat their result; ids may be null; an empty
     table gives an empty result.
 
-    ``kind`` is text, markdown or html. Only what the enabled rules read is prepared. A null text is an empty one.
+    ``kind`` is text, markdown or html. A null text is an empty one.
     """
     c = config or Config()
     codes = c.reported()
     shown = F.col(name).cast("string") if name else F.col(id).cast("string")
-    df = df.select(F.col(id), shown.alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_original"), F.lit(kind).alias("_kind"), *([F.col(tokens).cast(TOKENS).alias("_tokens")] if tokens else []))
-    df = blank_markup(df, kind, "_original")
-    df = measure(df, "_analysis", c.target)
-    if all_stats or codes & NEEDS_VOCABULARY:
-        df = with_vocabulary(df, "_analysis")
-    df = df.withColumn("_paras", T.paragraphs(F.col("_analysis")))
-    lists = tuple(sorted({LISTS[x] for x in codes if x in LISTS}))
-    df = df.withColumn("_hits", hits(F.col("_analysis"), lists, c.backend == "lexical") if lists else F.array().cast("array<struct<list:string,phrase:string,start:int,end:int,before:string,after:string>>"))
-    if codes & NEEDS_FLAT:
-        df = df.withColumn("_flat", flat_runs(F.transform(F.filter("sentences", lambda s: s["words"] > 0), lambda s: s["words"])))
-    if "NB704" in codes and c.style and c.style.get("delta"):
-        df = df.withColumn("_delta", burrows_delta(c.style, F.col("_analysis"), F.col("n_words")))
-    built = _rules_of(df.sparkSession, c)
-    df = df.withColumn("findings", F.concat(*(F.coalesce(x, F.array()).cast(FINDING) for x in built)) if built else F.array().cast(FINDING))
-    df = df.drop("_hits", "_flat", "_delta", "_marks", "_kind", "sentences", "_paras")
-    df = post_passes(df, c, kind).withColumn("_paras", T.paragraphs(F.col("_analysis"))).withColumn("backend", F.lit(c.backend)).withColumn("reading_time_secs", F.col("n_words") / F.lit(250.0) * F.lit(60.0))
-    return df
-
-
-_built: dict[tuple, list[Column]] = {}
-
-
-def _rules_of(spark: SparkSession, c: Config) -> list[Column]:
-    """The expressions of all enabled rules. Fifty rules are thousands of calls to the JVM, so they are made once for equal
-    settings, and without noting the Python line of every part."""
-    key = (id(spark._jvm), repr(c))
-    if key not in _built:
-        codes = c.reported()
-        noted = spark.conf.get("spark.sql.dataFrameQueryContext.enabled", "true")
-        spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
-        try:
-            _built[key] = [rule(c) for group, rule in RULES.items() if codes & set(group) and not (group == ("NB309",) and c.norms is None)]
-        finally:
-            spark.conf.set("spark.sql.dataFrameQueryContext.enabled", noted)
-    return _built[key]
+    df = df.select(F.col(id), shown.alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_original"), *([F.col(tokens).cast(TOKENS).alias("_tokens")] if tokens else []))
+    if kind != "text":
+        df = blank_markup(df, kind, "_original")
+    df = analyze_rows(df, c, kind, all_stats or bool(codes & NEEDS_VOCABULARY))
+    return with_seconds((df if kind != "text" else df.withColumn("_analysis", F.col("_original"))).withColumn("backend", F.lit(c.backend)))
 
 
 def _rows(df: DataFrame, array: str) -> DataFrame:
@@ -84,7 +52,7 @@ def findings(analyzed: DataFrame, id: str = "doc_id") -> DataFrame:
 
 
 def stats(analyzed: DataFrame) -> DataFrame:
-    return analyzed.drop("findings", "_original", "_analysis", "_paras")
+    return analyzed.drop("findings", "_original", "_analysis")
 
 
 def statistics(analyzed: DataFrame) -> DataFrame:
@@ -94,24 +62,7 @@ def statistics(analyzed: DataFrame) -> DataFrame:
 
 def hotspots(analyzed: DataFrame, limit: int = 3, id: str = "doc_id") -> DataFrame:
     """The paragraphs of each document with the most weight of findings a hundred words, worst first."""
-    weight = F.create_map(*(F.lit(x) for p in SEVERITIES.items() for x in p))
-    n_words = lambda p: F.size(F.filter(F.split(p["text"], rf"[{T.WS}]+"), lambda w: w != ""))
-
-    def spot(p: Column) -> Column:
-        mine = F.filter("findings", lambda f: (p["start"] <= f["start"]) & (f["start"] < p["end"]))
-        total = F.aggregate(mine, F.lit(0.0), lambda a, f: a + F.element_at(weight, f["severity"]))
-        codes = F.transform(mine, lambda f: f["code"])
-        counts = F.transform(F.array_distinct(codes), lambda k: F.struct((-F.size(F.filter(codes, lambda x: x == k))).alias("minus"), k.alias("code")))
-        ranked = F.transform(F.array_sort(counts), lambda x: F.struct(x["code"].alias("code"), (-x["minus"]).alias("n")))
-        shown = T.flat(F.substring("_original", p["start"] + 1, p["end"] - p["start"]))
-        preview = F.when(F.length(shown) <= 60, shown).otherwise(F.concat(F.rtrim(F.substring(shown, 1, 59)), F.lit("…")))
-        last = F.greatest(p["start"], p["end"] - 1)
-        return F.struct(T.line_of(F.col("_original"), p["start"]).alias("line"), T.line_of(F.col("_original"), last).alias("end_line"), n_words(p).alias("words"), F.size(mine).alias("issues"), total.alias("weight"), (total / F.greatest(n_words(p), F.lit(25)) * 100).alias("density"), ranked.alias("codes"), preview.alias("preview"))
-
-    spots = F.filter(F.transform("_paras", spot), lambda s: s["issues"] > 0)
-    order = lambda a, b: F.when(a["density"] != b["density"], F.when(a["density"] > b["density"], -1).otherwise(1)).when(a["weight"] != b["weight"], F.when(a["weight"] > b["weight"], -1).otherwise(1)).otherwise(_compare(a, b, "line"))
-    worst = analyzed.select(id, "name", F.slice(F.array_sort(spots, order), 1, limit).alias("s"))
-    return _rows(worst.withColumn("s", F.transform("s", lambda s, i: s.withField("rank", i + 1))), "s").where("rank is not null")
+    return hotspot_rows(analyzed.select(id, "name", "_original", "_analysis", "findings"), limit)
 
 
 DOCUMENT_LEVEL = ("NB506", "NB508", "NB509", "NB527", "NB528", "NB529", "NB530")

@@ -20,6 +20,7 @@ from lectern.operators import profile as profiles
 from lectern.operators.markup import blank_markup
 from lectern.operators.parsed import STATISTICS
 from lectern.operators.parsed import TOKENS as PARSE
+from lectern.operators.postpass import unsettled
 from lectern.operators.registry import ENTRIES
 from lectern.operators.registry import rules as catalogue
 from lectern.operators.stats import document_stats, measure, with_vocabulary
@@ -111,10 +112,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM (SELECT *, CASE WHEN alpha AND w = lag(w) OVER (PARTITION BY doc_id ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM solid))
 SELECT doc_id, min(start)::INT AS start, max(start + len(t))::INT AS "end", min(w) AS word FROM runs WHERE alpha GROUP BY doc_id, run HAVING count(*) = 2 AND min(w) NOT IN ('had', 'that')""")
 def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.operators.rules import repeated_words as rule
-
-    df = english(spark, sf_dir).withColumnRenamed("text", "_analysis")
-    return df.select("doc_id", F.inline_outer(rule(Config()))).where("code is not null").select("doc_id", "start", "end", F.lower("suggestion").alias("word"))
+    return english(spark, sf_dir).select("doc_id", F.inline_outer(unsettled(F.col("text"), ("NB306",)))).where("code is not null").select("doc_id", "start", "end", F.lower("suggestion").alias("word"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, {q(P.CLASSIC_WORD)})) AS x FROM documents WHERE lang = 'en')
@@ -128,10 +126,7 @@ def adverbs_classic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '(?i)[ \\t\\n\\r\\f\\x0b](?:is|are|was|were|being|been|be)[ \\t\\n\\r\\f\\x0b]{{2}}[a-z]{{2,30}}(?:[^\\p{{L}}\\p{{N}}_]|$)')) AS x FROM documents WHERE lang = 'en'),
 w AS (SELECT doc_id, lower(regexp_extract(x, '(?i)^[ \\t\\n\\r\\f\\x0b][a-z]+[ \\t\\n\\r\\f\\x0b]{{2}}([a-z]+)', 1)) AS word FROM m) SELECT doc_id, word, count(*) AS n FROM w WHERE word LIKE '%ed' OR word IN {values(phrases("participle"))} GROUP BY ALL""")
 def passives_classic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.operators.rules import passives_classic as rule
-
-    df = english(spark, sf_dir).withColumnRenamed("text", "_analysis")
-    rows = df.select("doc_id", F.inline_outer(rule(Config()))).where("code is not null")
+    rows = english(spark, sf_dir).select("doc_id", F.inline_outer(unsettled(F.col("text"), ("NB302",)))).where("code is not null")
     return rows.groupBy("doc_id", F.lower(F.regexp_extract("text", rf"(?i)\A[a-z]+{P.S}([a-z]+)", 1)).alias("word")).agg(F.count("*").alias("n"))
 
 
@@ -167,13 +162,11 @@ def html_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 runs AS (SELECT s.doc_id, s.sent, o.w, s.sent - row_number() OVER (PARTITION BY s.doc_id, o.w ORDER BY s.sent) AS run FROM per_sent s JOIN o ON s.doc_id = o.doc_id AND s.sent = o.sent)
 SELECT doc_id, w AS word, count(*)::INT AS n, min(sent)::INT AS first_sentence FROM runs GROUP BY doc_id, w, run HAVING count(*) >= 3""")
 def opener_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.operators.rules import openers
-
-    df = measure(english(spark, sf_dir)).withColumnRenamed("text", "_analysis")
+    df = measure(english(spark, sf_dir)).withColumn("found", unsettled(F.col("text"), ("NB512",)))
     before = lambda f: (F.size(F.filter("sentences", lambda s: s["start"] < f["start"])) + 1).cast("int")
     during = lambda f: F.size(F.filter("sentences", lambda s: (s["start"] >= f["start"]) & (s["start"] < f["end"])))
     word = lambda f: F.regexp_extract(f["message"], "'(.*)'", 1)
-    found = F.transform(openers(Config()), lambda f: F.struct(word(f).alias("word"), during(f).alias("n"), before(f).alias("first_sentence")))
+    found = F.transform("found", lambda f: F.struct(word(f).alias("word"), during(f).alias("n"), before(f).alias("first_sentence")))
     return df.select("doc_id", F.inline_outer(found)).where("word is not null")
 
 
