@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.diversity import WINDOW, window_distinct
-from lectern.functions.tables import ADDITIVE, TARGETS, TEMPORAL
+from lectern.functions.tables import ADDITIVE, CONNECTORS, FUNCTION_WORDS, PUNCTUATION, TARGETS, TEMPORAL
 
 ROWS = 128  # of a batch, turned into columns at a time
 
@@ -60,11 +60,12 @@ def words_rx() -> re.Pattern:
 ASCII_WORDS = re.compile(r"_*+[A-Za-z0-9]\w*+(?:['-]\w++)*+|[$+<=>^`|~]", re.A)
 SENTENCE, BY_LINE = pattern(T.SENTENCE), pattern(T.SENTENCE_BY_LINE)
 FILLED, ENDED = pattern(rf"[^\n]*[^\n{T.WS}][^\n]*"), pattern(rf"[.!?:;…]{T.CLOSERS}*[ \t\r\f\x0b]*(?=\n|\z)")
+CONNECTOR_RANK = {k: i for i, k in enumerate(CONNECTORS)}
 BREAK, PARAGRAPH = re.compile(T.SEGMENT_BREAK), re.compile(T.PARAGRAPH_BREAK)
 BLANKS = " \t\n\r\f\x0b"
 PLAIN = bytes(c for c in range(256) if not chr(c).isalnum() or c > 127)
 PLAIN_ = PLAIN.replace(b"_", b"")
-TEMPORAL_SET, ADDITIVE_SET = frozenset(TEMPORAL), frozenset(ADDITIVE)
+TEMPORAL_SET, ADDITIVE_SET, FUNCTION_SET = frozenset(TEMPORAL), frozenset(ADDITIVE), frozenset(FUNCTION_WORDS)
 
 
 def words(text: str) -> list[str]:
@@ -146,6 +147,43 @@ class Reading:
     def openings(self) -> list[list[str]]:
         return [[w.lower() for w in s.words[:2]] for s in self.some]
 
+    @property
+    def connectors(self) -> list[tuple[int, str]]:
+        """Of each sentence that opens with connectors the first one, in their order, that its first word or first two are."""
+        hits = ((i, [k for k in (o[0], " ".join(o)) if k in CONNECTOR_RANK]) for i, o in enumerate(self.openings))
+        return [(i, min(k, key=CONNECTOR_RANK.__getitem__)) for i, k in hits if k]
+
+    @property
+    def sums(self) -> list[int]:
+        """In the order of ``SUMS``."""
+        out: list[int] = []
+        for x in (self.lengths, self.segments, [len(p) for p in self.paras]):
+            out += (len(x), sum(x), sum(v * v for v in x))
+        return [*out, sum(p[-1] <= 8 for p in self.paras), len(self.some), len(self.words), *(self.text.count(m) for m in PUNCTUATION.values())]
+
+    @property
+    def n_tokens(self) -> int:
+        return len(self.words)
+
+    @property
+    def places(self) -> list[tuple[int, str]]:
+        """Function words and where they stand."""
+        return [(i, w) for i, w in enumerate(self.lowered) if w in FUNCTION_SET]
+
+    @property
+    def bigrams(self) -> list[tuple[str, int, int]]:
+        """Pairs of adjacent words of letters, not both function words: how often, and where first."""
+        out: dict[tuple[str, str], list[int]] = {}
+        w = self.lowered
+        plain, common = [x.isalpha() for x in w], [x in FUNCTION_SET for x in w]
+        for i in range(len(w) - 1):
+            if plain[i] and plain[i + 1] and not (common[i] and common[i + 1]):
+                if n := out.get(k := (w[i], w[i + 1])):
+                    n[0] += 1
+                else:
+                    out[k] = [1, i]
+        return [(f"{a} {b}", n, i) for (a, b), (n, i) in out.items()]
+
     @property
     def n_sentences(self) -> int:
         return len(self.sentences)
@@ -208,7 +246,7 @@ class Reading:
         starts, ends = [s.start for s in some], [s.end for s in some]
         return [some[bisect_right(ends, a) : bisect_left(starts, b)] for a, b in self.paragraphs]
 
-    @property
+    @cached_property
     def paras(self) -> list[list[int]]:
         return [[s.n for s in p] for p in self.by_paragraph(1) if p]
 
@@ -216,14 +254,16 @@ class Reading:
 #: what can be asked for, and its type
 KINDS = {
     "sentences": "array<struct<start:int,end:int,text:string,words:int,letters:int>>", "n_sentences": "int", "n_words": "bigint", "n_letters": "bigint", "grade": "int", "readability": "string", "burstiness": "double", "seg_burstiness": "double",
-    "temporal_ratio": "double", "n_alpha": "int", "mattr": "double", "lowered": "array<string>", "openings": "array<array<string>>", "lengths": "array<int>", "segments": "array<int>", "paras": "array<array<int>>",
+    "temporal_ratio": "double", "n_alpha": "int", "mattr": "double", "n_tokens": "int", "sums": "array<bigint>", "places": "array<struct<pos:int,word:string>>", "connectors": "array<struct<pos:int,word:string>>", "bigrams": "array<struct<word:string,n:int,pos:int>>", "openings": "array<array<string>>", 
 }
+#: sizes, sums and squares of sentences, segments and paragraphs, and what else a profile adds up
+SUMS = (*(f"{x}_{y}" for x in "lgp" for y in "nsq"), "punchlines", "n_sentences", "n_words", *(f"mark_{k}" for k in PUNCTUATION))
 MEASURES = ("n_sentences", "n_words", "n_letters", "grade", "readability", "burstiness", "seg_burstiness")
 VOCABULARY = ("temporal_ratio", "n_alpha", "mattr")
 
 
 _INT, _SENTENCE = pa.int32(), pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("words", pa.int32()), ("letters", pa.int32())])
-_ARROW = {"int": _INT, "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<int>": pa.list_(_INT), "array<array<int>>": pa.list_(pa.list_(_INT)), "array<string>": pa.list_(pa.string()), "array<array<string>>": pa.list_(pa.list_(pa.string())), KINDS["sentences"]: pa.list_(_SENTENCE)}
+_ARROW = {"int": _INT, "array<bigint>": pa.list_(pa.int64()), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), KINDS["places"]: pa.list_(pa.struct([("pos", _INT), ("word", pa.string())])), KINDS["bigrams"]: pa.list_(pa.struct([("word", pa.string()), ("n", _INT), ("pos", _INT)])), "array<array<string>>": pa.list_(pa.list_(pa.string())), KINDS["sentences"]: pa.list_(_SENTENCE)}
 
 
 def _arrow(name: str) -> pa.DataType:

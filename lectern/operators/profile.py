@@ -6,45 +6,34 @@ are those of a list of our own (``FUNCTION_WORDS``); sections that need a tagger
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import text as T
-from lectern.functions.reading import told
-from lectern.functions.tables import CONNECTORS
-from lectern.operators.rules import MARKS, count_of
-
-FUNCTION_WORDS = tuple(
-    sorted(
-        "i me my you your he him his she her it its we us our they them their who whom whose which what this that these those there here one some any no none not all both each few more most other such only own same so than too very just now then "
-        "am is are was were be been being have has had do does did can could may might must shall should will would "
-        "and but or nor if because as until while although though since unless whether when where why how "
-        "a an the of to in for on with at by from into onto over under about against between through during before after above below up down out off again once per via".split()
-    )
-)
+from lectern.functions.reading import SUMS, told
+from lectern.functions.tables import CONNECTORS, FUNCTION_WORDS, PUNCTUATION
+
 BLOCK = 1000
 #: section: entries kept
 TOP = {"function_words": 60, "openers": 15, "bigrams": 25}
 DELTA_WORDS, LEAST_BLOCKS = 100, 5
-PUNCTUATION = MARKS | {"comma": ","}
 
 
-def _top(counts: DataFrame, key: str, rate: Column, limit: int, name: str) -> DataFrame:
-    """The most frequent entries of each author as a map of rates; equals by first appearance, then by name."""
+def _top(counts: DataFrame, limit: int, name: str, key: str = "word") -> DataFrame:
+    """The most frequent entries of each author as a map of counts; equals by first appearance, then by name."""
     order = Window.partitionBy("author").orderBy(F.desc("n"), "first", key)
     kept = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit)
-    return kept.groupBy("author").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col(key).alias("k"), rate.alias("v")))), lambda x: F.struct(x["k"], x["v"]))).alias(name))
+    return kept.groupBy("author").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col(key).alias("k"), F.col("n").alias("v")))), lambda x: F.struct(x["k"], x["v"]))).alias(name))
 
 
-#: columns that go by another name in ``reading``
-READS = {"words": "lowered"}
+def _rate(per: str):
+    return lambda _, n: n * F.lit(1000.0) / F.greatest(F.col(per), F.lit(1))
 
 
-def prepare(df: DataFrame, text: str, author: Column, id: str, reads: tuple[str, ...] = ("words", "lengths", "segments", "openings", "paras")) -> DataFrame:
+def prepare(df: DataFrame, text: str, author: Column, id: str, reads: tuple[str, ...] = ("sums", "n_tokens", "places", "openings", "connectors", "bigrams")) -> DataFrame:
     """A row a document with what is read of its sentences and words."""
     df = df.select(author.alias("author"), F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    df = df.withColumn("_told", told(F.col("_text"), tuple(READS.get(x, x) for x in reads)))
-    return df.select("author", "id", "_text", *(F.col(f"_told.{READS.get(x, x)}").alias(x) for x in reads))
+    return df.withColumn("_told", told(F.col("_text"), reads)).select("author", "id", *(F.col(f"_told.{x}").alias(x) for x in reads))
 
 
 def _cv(n: str, s: str, q: str) -> Column:
@@ -52,25 +41,9 @@ def _cv(n: str, s: str, q: str) -> Column:
     return F.when((a >= 2) & (b > 0), F.sqrt(a * c - b * b) / b).otherwise(F.lit(0.0))
 
 
-def _sums(column: str, name: str) -> list[Column]:
-    return [F.sum(F.size(column)).alias(f"{name}_n"), F.sum(T.total(F.col(column))).alias(f"{name}_s"), F.sum(T.total(F.transform(column, lambda x: x * x))).alias(f"{name}_q")]
-
-
-def connector_of(opening: Column) -> Column:
-    """The first connector, in their order, that the first word or the first two are; null if none."""
-    one, two = F.get(opening, F.lit(0)), F.array_join(opening, " ")
-    return F.get(F.filter(F.array(*map(F.lit, CONNECTORS)), lambda c: (c == one) | (c == two)), F.lit(0))
-
-
 def rhythm(docs: DataFrame) -> DataFrame:
     """Of each author the corpus, rhythm and punctuation."""
-    per_paragraph = F.transform("paras", F.size)
-    docs = docs.withColumn("para_sizes", per_paragraph)
-    marks = [F.sum(count_of(F.col("_text"), m)).alias(f"mark_{k}") for k, m in PUNCTUATION.items()]
-    sums = docs.groupBy("author").agg(
-        F.count("*").alias("docs"), F.sum(F.size("words")).alias("n_words"), F.sum(F.size("openings")).alias("n_sentences"), *_sums("lengths", "l"), *_sums("segments", "g"), *_sums("para_sizes", "p"),
-        F.sum(F.size(F.filter("paras", lambda p: F.element_at(p, -1) <= 8))).alias("punchlines"), *marks,
-    )
+    sums = docs.groupBy("author").agg(F.count("*").alias("docs"), *(F.sum(F.get("sums", F.lit(i))).alias(k) for i, k in enumerate(SUMS)))
     per = lambda x: F.when(F.col("n_words") > 0, F.col(x) * F.lit(1000.0) / F.col("n_words")).otherwise(0.0)
     least = lambda x: F.greatest(F.col(x), F.lit(1)).cast("double")
     return sums.select(
@@ -79,23 +52,26 @@ def rhythm(docs: DataFrame) -> DataFrame:
     )
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """author, id, pos, word of all function words."""
+    return docs.select("author", "id", F.explode("places").alias("p")).select("author", "id", "p.pos", "p.word")
+
+
 def function_counts(docs: DataFrame) -> DataFrame:
     """author, word, n, first: function words, and the least (id, place) at which each stands."""
-    words = docs.select("author", "id", F.posexplode("words").alias("pos", "word")).where(F.col("word").isin(*FUNCTION_WORDS))
-    return words.groupBy("author", "word").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
+    return _placed(docs).groupBy("author", "word").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
 
 
 def opener_counts(docs: DataFrame, connectors: bool = False) -> DataFrame:
-    opened = docs.select("author", "id", F.posexplode("openings").alias("pos", "o"))
-    word = connector_of(F.col("o")) if connectors else F.get(F.col("o"), F.lit(0))
-    return opened.select("author", "id", "pos", word.alias("word")).where("word is not null").groupBy("author", "word").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
+    """author, word, n, first: first words of sentences, or the connectors that open them."""
+    opened = docs.select("author", "id", F.explode("connectors").alias("o")).select("author", "id", "o.pos", "o.word") if connectors else docs.select("author", "id", F.posexplode("openings").alias("pos", "o")).select("author", "id", "pos", F.get("o", F.lit(0)).alias("word"))
+    return opened.groupBy("author", "word").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
 
 
 def bigram_counts(docs: DataFrame) -> DataFrame:
     """Pairs of adjacent words, not both function words, that recur in at least max(2, a quarter) of an author's documents."""
-    pairs = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 2, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.get("words", i).alias("a"), F.get("words", i + 1).alias("b"))), lambda p: p["b"].rlike(r"^\p{L}+$") & p["a"].rlike(r"^\p{L}+$") & ~(p["a"].isin(*FUNCTION_WORDS) & p["b"].isin(*FUNCTION_WORDS)))
-    rows = docs.select("author", "id", F.explode(pairs).alias("p")).select("author", "id", F.col("p.pos").alias("pos"), F.concat_ws(" ", "p.a", "p.b").alias("word"))
-    by_doc = rows.groupBy("author", "id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    rows = docs.select("author", "id", F.explode("bigrams").alias("p")).select("author", "id", "p.word", "p.n", "p.pos")
+    by_doc = rows.groupBy("author", "id", "word").agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
     counts = by_doc.groupBy("author", "word").agg(F.sum("n").alias("n"), F.count("*").alias("docs_with"), F.min(F.struct("id", "pos")).alias("first"))
     docs_of = docs.groupBy("author").agg(F.count("*").alias("docs"))
     return counts.join(docs_of, "author").where(F.col("docs_with") >= F.greatest(F.lit(2), F.floor(F.col("docs") / 4))).drop("docs", "docs_with")
@@ -107,17 +83,16 @@ def delta_blocks(docs: DataFrame) -> DataFrame:
     Only counts of documents are put in order, one row each, within an author.
     """
     up = Window.partitionBy("author").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = docs.select("author", "id", F.size("words").alias("k")).withColumn("start", F.coalesce(F.sum("k").over(up), F.lit(0))).drop("k")
-    totals = docs.groupBy("author").agg(F.sum(F.size("words")).alias("total"))
-    words = docs.select("author", "id", F.posexplode("words").alias("pos", "word")).where(F.col("word").isin(*FUNCTION_WORDS))
-    placed = words.join(starts, ["author", "id"]).join(totals, "author").withColumn("block", F.floor((F.col("start") + F.col("pos")) / BLOCK))
+    starts = docs.select("author", "id", F.col("n_tokens").alias("k")).withColumn("start", F.coalesce(F.sum("k").over(up), F.lit(0))).drop("k")
+    totals = docs.groupBy("author").agg(F.sum("n_tokens").alias("total"))
+    placed = _placed(docs).join(starts, ["author", "id"]).join(totals, "author").withColumn("block", F.floor((F.col("start") + F.col("pos")) / BLOCK))
     size = F.least(F.lit(BLOCK), F.col("total") - F.col("block") * BLOCK)
     return placed.withColumn("size", size).where(F.col("size") >= BLOCK // 2).groupBy("author", "block", "word", "size").agg(F.count("*").alias("n")).select("author", "block", "word", (F.col("n") * F.lit(float(BLOCK)) / F.col("size")).alias("rate"))
 
 
 def delta_stats(docs: DataFrame) -> DataFrame:
     """author, word, blocks, mean, std of the most frequent function words; authors of fewer than five blocks have none."""
-    sizes = docs.groupBy("author").agg(F.sum(F.size("words")).alias("total")).select("author", (F.floor(F.col("total") / BLOCK) + F.when(F.col("total") % BLOCK >= BLOCK // 2, 1).otherwise(0)).alias("blocks"))
+    sizes = docs.groupBy("author").agg(F.sum("n_tokens").alias("total")).select("author", (F.floor(F.col("total") / BLOCK) + F.when(F.col("total") % BLOCK >= BLOCK // 2, 1).otherwise(0)).alias("blocks"))
     order = Window.partitionBy("author").orderBy(F.desc("n"), "first", "word")
     common = function_counts(docs).withColumn("r", F.row_number().over(order)).where(F.col("r") <= DELTA_WORDS).select("author", "word")
     sums = delta_blocks(docs).join(common, ["author", "word"]).groupBy("author", "word").agg(F.sum("rate").alias("s"), F.sum(F.col("rate") * F.col("rate")).alias("q"))
@@ -129,20 +104,18 @@ def delta_stats(docs: DataFrame) -> DataFrame:
 
 def build_profiles(df: DataFrame, text: str = "text", author: str | None = None, id: str = "doc_id") -> DataFrame:
     """One row for each author: corpus, rhythm, punctuation and the maps of rates. Without ``author`` all is one author's."""
-    # each section reads the documents by itself, and no more of them than it needs
+    # two readings of the texts: the pairs, which are many, and all else, which is small and kept on disk for the other sections
     of = lambda *reads: prepare(df, text, F.col(author) if author else F.lit("all"), id, reads)
-    words, openings = of("words"), of("openings")
-    base = rhythm(of("words", "lengths", "segments", "openings", "paras"))
-    totals = base.select("author", F.col("words").alias("t_words"), F.col("sentences").alias("t_sentences"))
-    rate = lambda c, per: F.col("n") * F.lit(1000.0) / F.greatest(F.col(per), F.lit(1))
-    joined = lambda counts: counts.join(totals, "author")
+    docs = of("sums", "n_tokens", "places", "openings", "connectors").persist(StorageLevel.DISK_ONLY)
+    base = rhythm(docs)
     sections = [
-        _top(joined(function_counts(words)), "word", rate("n", "t_words"), TOP["function_words"], "function_words"), _top(joined(opener_counts(openings)), "word", rate("n", "t_sentences"), TOP["openers"], "openers"),
-        _top(joined(opener_counts(openings, True)), "word", rate("n", "t_sentences"), len(CONNECTORS), "connectors"), _top(joined(bigram_counts(words)), "word", rate("n", "t_words"), TOP["bigrams"], "bigrams"),
-        delta_stats(words).groupBy("author").agg(F.max("blocks").alias("delta_blocks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", F.struct("mean", "std"))))).alias("delta")),
+        _top(function_counts(docs), TOP["function_words"], "function_words"), _top(opener_counts(docs), TOP["openers"], "openers"), _top(opener_counts(docs, True), len(CONNECTORS), "connectors"), _top(bigram_counts(of("bigrams")), TOP["bigrams"], "bigrams"),
+        delta_stats(docs).groupBy("author").agg(F.max("blocks").alias("delta_blocks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", F.struct("mean", "std"))))).alias("delta")),
     ]
     for s in sections:
         base = base.join(s, "author", "left")
+    for name, per in (("function_words", "words"), ("openers", "sentences"), ("connectors", "sentences"), ("bigrams", "words")):
+        base = base.withColumn(name, F.transform_values(name, _rate(per)))
     return base
 
 

@@ -183,7 +183,7 @@ SOURCES = "srcs AS (SELECT doc_id, source FROM documents WHERE lang = 'en')"
 
 @query(f"""WITH {TOKENS}, {SOURCES} SELECT source AS author, lower(t) AS word, count(*) AS n FROM kind JOIN srcs USING (doc_id) WHERE word AND lower(t) IN {values(profiles.FUNCTION_WORDS)} GROUP BY ALL""")
 def profile_function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.function_counts(by_source(spark, sf_dir, "words")).select("author", "word", "n")
+    return profiles.function_counts(by_source(spark, sf_dir, "places")).select("author", "word", "n")
 
 
 @query(f"""WITH {TOKENS}, {SOURCES}, first AS (SELECT doc_id, sent, t, row_number() OVER (PARTITION BY doc_id, sent ORDER BY i) AS k FROM sents WHERE sent > 0 AND word) SELECT source AS author, lower(t) AS word, count(*) AS n FROM first JOIN srcs USING (doc_id) WHERE k = 1 GROUP BY ALL""")
@@ -197,13 +197,13 @@ CASES = " ".join(f"WHEN one = {q(c)} OR two = {q(c)} THEN {q(c)}" for c in CONNE
 @query(f"""WITH {TOKENS}, {SOURCES}, first AS (SELECT doc_id, sent, lower(t) AS one, lower(t || coalesce(' ' || lead(t) OVER (PARTITION BY doc_id, sent ORDER BY i), '')) AS two, row_number() OVER (PARTITION BY doc_id, sent ORDER BY i) AS k FROM sents WHERE sent > 0 AND word),
 c AS (SELECT doc_id, CASE {CASES} END AS word FROM first WHERE k = 1) SELECT source AS author, word, count(*) AS n FROM c JOIN srcs USING (doc_id) WHERE word IS NOT NULL GROUP BY ALL""")
 def profile_connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.opener_counts(by_source(spark, sf_dir, "openings"), connectors=True).select("author", "word", "n")
+    return profiles.opener_counts(by_source(spark, sf_dir, "connectors"), connectors=True).select("author", "word", "n")
 
 
 @query(f"""WITH {TOKENS}, {SOURCES}, w AS (SELECT source AS author, lower(t) AS word, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS k, count(*) OVER (PARTITION BY source) AS total FROM kind JOIN srcs USING (doc_id) WHERE word),
 b AS (SELECT author, word, k // 1000 AS block, least(1000, total - (k // 1000) * 1000) AS size FROM w WHERE word IN {values(profiles.FUNCTION_WORDS)}) SELECT author, block::BIGINT AS block, word, count(*) * 1000.0::DOUBLE / size AS rate FROM b WHERE size >= 500 GROUP BY author, block, word, size""")
 def profile_delta_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.delta_blocks(by_source(spark, sf_dir, "words"))
+    return profiles.delta_blocks(by_source(spark, sf_dir, "n_tokens", "places"))
 
 
 @query()
