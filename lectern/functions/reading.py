@@ -2,7 +2,8 @@
 
 The same definitions as the columns of ``text``, whose patterns these are, translated: interpreted expressions over arrays of
 tokens took some ten microseconds a character, this takes a fraction of one. Batches are read a few rows at a time and go
-back as columns, so the memory of a worker is that of one batch, whatever the size of the table.
+back as columns, and of those rows one document's words are held at a time, so the memory of a worker is that of one batch and
+one document, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -270,12 +271,22 @@ def _arrow(name: str) -> pa.DataType:
     return _ARROW[KINDS[name]]
 
 
-def column(name: str, of: list[Reading]) -> pa.Array:
+def asked(r: Reading, names: tuple[str, ...]) -> list:
+    """The named values of a reading, without a hold on it: its words go when the next document is read."""
+    return [[(s.start, s.end, s.text, s.n, s.letters) for s in r.sentences] if n == "sentences" else getattr(r, n) for n in names]
+
+
+def columns(names: tuple[str, ...], rows: list[list]) -> list[pa.Array]:
+    """What was asked of some documents, a column a name."""
+    return [_column(n, [row[i] for row in rows]) for i, n in enumerate(names)]
+
+
+def _column(name: str, of: list) -> pa.Array:
     if name != "sentences":
-        return pa.array([getattr(r, name) for r in of], _arrow(name))
-    kind, flat = _arrow(name), [s for r in of for s in r.sentences]
-    fields = [pa.array([getattr(s, x) for s in flat], kind.value_type.field(i).type) for i, x in enumerate(("start", "end", "text", "n", "letters"))]
-    places = np.concatenate([[0], np.cumsum([len(r.sentences) for r in of])]).astype("int32")
+        return pa.array(of, _arrow(name))
+    kind, flat = _arrow(name), [s for r in of for s in r]
+    fields = [pa.array([s[i] for s in flat], kind.value_type.field(i).type) for i in range(5)]
+    places = np.concatenate([[0], np.cumsum([len(r) for r in of])]).astype("int32")
     return pa.ListArray.from_arrays(pa.array(places), pa.StructArray.from_arrays(fields, fields=[kind.value_type.field(i) for i in range(5)]), type=kind)
 
 
@@ -284,6 +295,14 @@ def slices(batch, rows: int = ROWS) -> Iterator:
         yield batch.slice(at, rows)
 
 
+def told_of(texts: pa.Array, names: tuple[str, ...], target: str) -> pa.Array:
+    """The named values of each text as a struct. One document's words are held at a time."""
+    fields, parts = [pa.field(n, _arrow(n)) for n in names], []
+    for part in slices(texts):
+        parts.append(pa.StructArray.from_arrays(columns(names, [asked(Reading(t.as_py(), target), names) for t in part]), fields=fields))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
+
+
 def told(text: Column, names: tuple[str, ...], target: str = "NORMAL") -> Column:
     """The named values of a text, as a struct."""
     schema = ",".join(f"{n}:{KINDS[n]}" for n in names)
@@ -291,10 +310,6 @@ def told(text: Column, names: tuple[str, ...], target: str = "NORMAL") -> Column
     @F.arrow_udf(f"struct<{schema}>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = []
-            for part in slices(batch):
-                of = [Reading(t, target) for t in part.to_pylist()]
-                parts.append(pa.StructArray.from_arrays([column(n, of) for n in names], fields=[pa.field(n, _arrow(n)) for n in names]))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([pa.field(n, _arrow(n)) for n in names]))
+            yield told_of(batch, names, target)
 
     return run(text)

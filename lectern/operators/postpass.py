@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from lectern.config import Config
 from lectern.functions import text as T
-from lectern.functions.reading import KINDS, MEASURES, VOCABULARY, Reading, column, slices
+from lectern.functions.reading import KINDS, MEASURES, VOCABULARY, Reading, asked, columns, slices
 from lectern.functions.tables import BUDGET_CODES, BUDGETS, PRECEDENCE
 from lectern.operators import patterns as P
 from lectern.operators.parsed import STATISTICS, parsed
@@ -135,6 +135,28 @@ def settle(told: list[dict], original: str, analysis: str, n_words: int, readabi
     return kept, {name: n[code] for name, code in CATEGORIES.items()}
 
 
+def analyzed_part(batch: pa.RecordBatch, c: Config, kind: str, names: tuple[str, ...], schema: pa.Schema) -> pa.RecordBatch:
+    """Some rows with what ``names`` asks, ``findings`` and ``counts``, in the order of a schema. One document's words are held at a time."""
+    of, codes = {name: batch.column(name) for name in batch.schema.names}, frozenset(c.reported())
+    asked_of, done, parses = [], [], []
+    for i in range(len(batch)):
+        value = lambda name: of[name][i].as_py()  # noqa: B023, E731
+        original = value("_original")
+        d = Document(original, *((value("_analysis"), value("_marks")) if "_marks" in of else (original, [])), value("name"), kind, c)
+        told = found(d, codes)
+        if "_tokens" in of:
+            more, numbers = parsed(d.text, value("_tokens") or [], codes, d.original, kind, c.ratings)
+            told = [*told, *more]
+            parses.append(numbers)
+        done.append(settle(told, d.original, d.text, d.n_words, d.readability, d.grade, c, kind))
+        asked_of.append(asked(d, names))
+    of |= dict(zip(names, columns(names, asked_of)))
+    of |= {name: pa.array([n[name] for n in parses], pa.float64()) for name in STATISTICS if "_tokens" in of}
+    of["findings"] = pa.array([f for f, _ in done], schema.field("findings").type)
+    of["counts"] = pa.array([list(n.items()) for _, n in done], schema.field("counts").type)
+    return pa.RecordBatch.from_arrays([of[name] for name in schema.names], names=schema.names)
+
+
 def analyze_rows(df: DataFrame, c: Config, kind: str, vocabulary: bool) -> DataFrame:
     """``df`` with the statistics of each document, ``findings`` settled and ``counts`` by category: one kernel, a few rows of a
     batch at a time, each in linear time.
@@ -142,37 +164,19 @@ def analyze_rows(df: DataFrame, c: Config, kind: str, vocabulary: bool) -> DataF
     It reads ``name``, ``_original`` and, where markup was blanked, ``_analysis`` and ``_marks``. With a column ``_tokens``,
     findings of the rules that read a parse join the others, and its statistics are added.
     """
-    parse, marked, codes = "_tokens" in df.columns, "_marks" in df.columns, frozenset(c.reported())
     names = (*MEASURES, *(VOCABULARY if vocabulary else ()))
     schema = StructType([f for f in df.schema.fields if f.name not in ("_marks", "_tokens")])
     for name in names:
         schema = schema.add(name, _parse_datatype_string(KINDS[name]))
     schema = schema.add("findings", _parse_datatype_string(SETTLED)).add("counts", _parse_datatype_string("map<string,int>"))
-    for name in STATISTICS if parse else ():
+    for name in STATISTICS if "_tokens" in df.columns else ():
         schema = schema.add(name, "double")
     kinds = to_arrow_schema(schema, prefers_large_types=False)
 
-    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        of = {name: batch.column(name) for name in batch.schema.names}
-        read = lambda name: of[name].to_pylist()
-        original, shown = read("_original"), read("name")
-        analysis, marks = (read("_analysis"), read("_marks")) if marked else (original, [[]] * len(original))
-        docs = [Document(*x, kind, c) for x in zip(original, analysis, marks, shown)]
-        all_found = [found(d, codes) for d in docs]
-        if parse:
-            told = [parsed(d.text, t or [], codes, d.original, kind, c.ratings) for t, d in zip(read("_tokens"), docs)]
-            all_found = [[*f, *more] for f, (more, _) in zip(all_found, told)]
-            of |= {name: pa.array([n[name] for _, n in told], pa.float64()) for name in STATISTICS}
-        done = [settle(f, d.original, d.text, d.n_words, d.readability, d.grade, c, kind) for f, d in zip(all_found, docs)]
-        of |= {name: column(name, docs) for name in names}
-        of["findings"] = pa.array([f for f, _ in done], kinds.field("findings").type)
-        of["counts"] = pa.array([list(n.items()) for _, n in done], kinds.field("counts").type)
-        return pa.RecordBatch.from_arrays([of[name] for name in schema.names], names=schema.names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch):
-                yield part(rows)
+                yield analyzed_part(rows, c, kind, names, kinds)
 
     return df.mapInArrow(run, schema)
 
