@@ -117,25 +117,6 @@ def _spans_of(text: Column, rx: str) -> Column:
     return F.when(text.rlike(rx), out).otherwise(F.array().cast(SPANS))
 
 
-def mask(s: Column) -> Column:
-    """Every character but newlines as a space."""
-    return F.regexp_replace(s, r"[^\n]", " ")
-
-
-def blank(text: Column, rx: str, keep: int | None = None, groups: int = 0) -> Column:
-    """Matches blanked at equal length; with ``keep``, the groups of the pattern cover it and that one stays."""
-    gaps, found = F.split(text, rx, -1), F.regexp_extract_all(text, F.lit(rx), F.lit(0))
-
-    def erased(m: Column) -> Column:
-        if keep is None:
-            return mask(m)
-        parts = [F.regexp_extract(m, rx, g) for g in range(1, groups + 1)]
-        return F.concat(*(p if g == keep else mask(p) for g, p in enumerate(parts, 1)))
-
-    out = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x: F.concat(x["g"], F.coalesce(erased(x["m"]), F.lit("")))), "")
-    return F.when(text.rlike(rx), out).otherwise(text)
-
-
 def line_oriented(text: Column) -> Column:
     """At least five lines with text, and four in five of them end as sentences do."""
     lines = F.regexp_count(text, F.lit(rf"[^\n]*[^\n{WS}][^\n]*"))

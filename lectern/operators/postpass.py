@@ -22,6 +22,7 @@ from lectern.functions import text as T
 from lectern.functions.reading import KINDS, MEASURES, VOCABULARY, Reading, asked, columns, slices
 from lectern.functions.tables import BUDGET_CODES, BUDGETS, PRECEDENCE
 from lectern.operators import patterns as P
+from lectern.operators.markup import known, marked
 from lectern.operators.parsed import STATISTICS, parsed
 from lectern.operators.registry import ENTRIES
 from lectern.operators.rules import Document, found
@@ -137,12 +138,12 @@ def settle(told: list[dict], original: str, analysis: str, n_words: int, readabi
 
 def analyzed_part(batch: pa.RecordBatch, c: Config, kind: str, names: tuple[str, ...], schema: pa.Schema) -> pa.RecordBatch:
     """Some rows with what ``names`` asks, ``findings`` and ``counts``, in the order of a schema. One document's words are held at a time."""
-    of, codes = {name: batch.column(name) for name in batch.schema.names}, frozenset(c.reported())
-    asked_of, done, parses = [], [], []
+    of, codes = {name: batch.column(name) for name in batch.schema.names}, c.reported()
+    asked_of, blanked, done, parses = [], [], [], []
     for i in range(len(batch)):
         value = lambda name: of[name][i].as_py()  # noqa: B023, E731
         original = value("_original")
-        d = Document(original, *((value("_analysis"), value("_marks")) if "_marks" in of else (original, [])), value("name"), kind, c)
+        d = Document(original, *marked(original, kind), value("name"), kind, c)
         told = found(d, codes)
         if "_tokens" in of:
             more, numbers = parsed(d.text, value("_tokens") or [], codes, d.original, kind, c.ratings)
@@ -150,7 +151,8 @@ def analyzed_part(batch: pa.RecordBatch, c: Config, kind: str, names: tuple[str,
             parses.append(numbers)
         done.append(settle(told, d.original, d.text, d.n_words, d.readability, d.grade, c, kind))
         asked_of.append(asked(d, names))
-    of |= dict(zip(names, columns(names, asked_of)))
+        blanked.append(d.text)
+    of |= dict(zip(names, columns(names, asked_of))) | ({"_analysis": pa.array(blanked, pa.string())} if kind != "text" else {})
     of |= {name: pa.array([n[name] for n in parses], pa.float64()) for name in STATISTICS if "_tokens" in of}
     of["findings"] = pa.array([f for f, _ in done], schema.field("findings").type)
     of["counts"] = pa.array([list(n.items()) for _, n in done], schema.field("counts").type)
@@ -161,11 +163,13 @@ def analyze_rows(df: DataFrame, c: Config, kind: str, vocabulary: bool) -> DataF
     """``df`` with the statistics of each document, ``findings`` settled and ``counts`` by category: one kernel, a few rows of a
     batch at a time, each in linear time.
 
-    It reads ``name``, ``_original`` and, where markup was blanked, ``_analysis`` and ``_marks``. With a column ``_tokens``,
+    It reads ``name`` and ``_original``; markup is blanked here, and what that leaves is ``_analysis``. With a column ``_tokens``,
     findings of the rules that read a parse join the others, and its statistics are added.
     """
     names = (*MEASURES, *(VOCABULARY if vocabulary else ()))
-    schema = StructType([f for f in df.schema.fields if f.name not in ("_marks", "_tokens")])
+    schema = StructType([f for f in df.schema.fields if f.name != "_tokens"])
+    if known(kind) != "text":
+        schema = schema.add("_analysis", "string")
     for name in names:
         schema = schema.add(name, _parse_datatype_string(KINDS[name]))
     schema = schema.add("findings", _parse_datatype_string(SETTLED)).add("counts", _parse_datatype_string("map<string,int>"))

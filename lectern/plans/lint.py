@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from lectern.config import Config
 from lectern.functions import text as T
-from lectern.operators.markup import blank_markup
 from lectern.operators.parsed import TOKENS
 from lectern.operators.postpass import analyze_rows, hotspot_rows
 from lectern.operators.rules import NEEDS_VOCABULARY
@@ -31,8 +30,6 @@ def analyze(df: DataFrame, config: Config | None = None, text: str = "text", kin
     codes = c.reported()
     shown = F.col(name).cast("string") if name else F.col(id).cast("string")
     df = df.select(F.col(id), shown.alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_original"), *([F.col(tokens).cast(TOKENS).alias("_tokens")] if tokens else []))
-    if kind != "text":
-        df = blank_markup(df, kind, "_original")
     df = analyze_rows(df, c, kind, all_stats or bool(codes & NEEDS_VOCABULARY))
     return with_seconds((df if kind != "text" else df.withColumn("_analysis", F.col("_original"))).withColumn("backend", F.lit(c.backend)))
 
